@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dressed, groups
+from . import dressed, groups, lookalike
 
-MODULES = (groups, dressed)
+MODULES = (groups, dressed, lookalike)
 
 
 def queries() -> dict:
