@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dressed, groups, lookalike
+from . import dressed, groups, leakage, lookalike, sentences
 
-MODULES = (groups, dressed, lookalike)
+MODULES = (groups, sentences, dressed, leakage, lookalike)
 
 
 def queries() -> dict:

@@ -38,8 +38,8 @@ BEFORE_NUMBER = {
     "ru": "рис стр гл табл",
 }
 # Words that a German ordinal number stands before.
-AFTER_ORDINAL = frozenset(
-    "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert Jahrhunderts Jahrtausend Auflage Kapitel".split()
+AFTER_ORDINAL = (
+    "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert Jahrhunderts Jahrtausend Auflage Kapitel"
 )
 
 MARKS = ".!?…"
@@ -54,9 +54,9 @@ HEADING_CHARS = 100
 BLOCK = 64
 
 _SAME = {ord(k): v for t in (CYRILLIC, GREEK) for k, v in t.items()}
-_ASCII = {0xFF01 + i: chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalnum() or chr(0x21 + i) in '."\'('}
+_ASCII = {0xFF01 + i: chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalnum() or chr(0x21 + i) in '."\'('} | {0x2010: "-", 0x2011: "-"}
 _GONE = re.compile("[" + "".join(INVISIBLE) + "]")
-_WIDE = re.compile("[＂＇（．０-９Ａ-Ｚａ-ｚ]")
+_WIDE = re.compile("[＂＇（．０-９Ａ-Ｚａ-ｚ\u2010\u2011]")
 
 
 def _skeleton(word: str) -> str:
@@ -64,6 +64,7 @@ def _skeleton(word: str) -> str:
 
 
 _GOES_ON = frozenset(_skeleton(w) for ws in GOES_ON.values() for w in ws.split())
+_AFTER_ORDINAL = frozenset(map(_skeleton, AFTER_ORDINAL.split()))
 _BEFORE_NUMBER = frozenset(_skeleton(w) for ws in BEFORE_NUMBER.values() for w in ws.split())
 
 _THAI = "ก-๛"
@@ -185,6 +186,9 @@ def _goes_on(t: str, at: int) -> bool:
     if not m:
         return False
     raw = m.group()
+    head, _, tail = raw.rpartition(".")
+    if len(head.rpartition(".")[2]) > 2:
+        raw = tail  # a sentence before it ended without a blank
     word = _skeleton(raw)
     if word in _GOES_ON:
         return True
@@ -197,7 +201,7 @@ def _goes_on(t: str, at: int) -> bool:
     if word in _BEFORE_NUMBER:
         return nxt.group(1)[0].isdigit()
     if raw.isdigit() and len(raw) <= 2:
-        return nxt.group(1) in AFTER_ORDINAL
+        return _skeleton(nxt.group(1)) in _AFTER_ORDINAL
     return False
 
 
@@ -214,7 +218,7 @@ _KIND_OF_CLOSER = {"”": 1, "»": 2, "」": 3, "』": 4, '"': 5}
 
 def _events(t: str, pos: list[int], cls: list[int]) -> None:
     """Appends the end offset and class of every event of t."""
-    n = len(t)
+    n, heading = len(t), False
     first = t.find("\n", len(t) - len(t.lstrip()))
     if 0 < first < n:
         line = t[:first].strip()
@@ -222,9 +226,8 @@ def _events(t: str, pos: list[int], cls: list[int]) -> None:
         while rest < n and t[rest].isspace():
             rest += 1
         ends = line[-1:] and (line[-1] in MARKS or line[-1] in CJK_MARKS or line[-1] in STOPS or line.rstrip("\"'”’»」』)）")[-1:] in tuple(MARKS + CJK_MARKS + STOPS))
-        if line and not ends and len(line) <= HEADING_CHARS and rest < n and not t[rest].islower():
-            pos.append(first)
-            cls.append(P)
+        heading = bool(line and not ends and len(line) <= HEADING_CHARS and rest < n and not t[rest].islower())
+    begun = len(pos)
     for m in _EVENT.finditer(t):
         kind, s, e = m.lastgroup, m.start(), m.end()
         if kind == "para":
@@ -257,6 +260,15 @@ def _events(t: str, pos: list[int], cls: list[int]) -> None:
                 cls.append(_CLOSE + _KIND_OF_CLOSER[ch])
         else:
             _mark(t, s, e, pos, cls)
+    if heading:
+        # a first line that holds a boundary of its own is no heading
+        at = begun
+        while at < len(pos) and pos[at] < first:
+            heading &= cls[at] not in (B, P)
+            at += 1
+        if heading:
+            pos.insert(at, first)
+            cls.insert(at, P)
 
 
 def _mark(t: str, s: int, e: int, pos: list[int], cls: list[int]) -> None:
