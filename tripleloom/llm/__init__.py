@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dressed, groups, leakage, lookalike, sentences
+from . import dressed, groups, leakage, lookalike, packing, sentences, splitting
 
-MODULES = (groups, sentences, dressed, leakage, lookalike)
+MODULES = (groups, sentences, splitting, dressed, packing, leakage, lookalike)
 
 
 def queries() -> dict:
