@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dressed, groups, leakage, lookalike, packing, sentences, splitting
+from . import dressed, groups, leakage, lookalike, packing, sentences, splitting, truncation
 
-MODULES = (groups, sentences, splitting, dressed, packing, leakage, lookalike)
+MODULES = (groups, truncation, sentences, splitting, dressed, packing, leakage, lookalike)
 
 
 def queries() -> dict:

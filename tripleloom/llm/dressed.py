@@ -60,16 +60,17 @@ def keyed(records: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return df.select("id", F.xxhash64(*sep).alias("k1"), F.xxhash64(F.lit("second"), *reversed(sep)).alias("k2"))
 
 
-def copies(rows: DataFrame) -> DataFrame:
+def copies(rows: DataFrame, total: int | None = None) -> DataFrame:
     """(kept_id, copy_id) of rows (id, k1, k2): one row for each other identifier of a key.
 
+    `total` is the number of rows or an upper bound of it, if known; it only moves the bar for hot keys.
     Repeated (id, key) rows count once. Empty input gives no row.
     """
     spark = rows.sparkSession
     n = partitions(spark)
     counts = rows.groupBy("k1", "k2").agg(F.count("*").alias("c"))
     counts = counts.where(F.col("c") > LEAST_HOT)  # so that only keys worth a look are kept
-    total = rows.count()
+    total = rows.count() if total is None else total
     # more than total / bar keys can't pass the bar: at most HOT_FACTOR * partitions keys are hot
     bar = max(LEAST_HOT, total // (HOT_FACTOR * n))
     hot = cut(counts.where(F.col("c") > bar).select("k1", "k2"))
@@ -92,7 +93,7 @@ def copies(rows: DataFrame) -> DataFrame:
 
 
 def triple_copies(triples: DataFrame) -> DataFrame:
-    return copies(keyed(parts(triples), "triple_id", ["subject", "relation", "object"]))
+    return copies(keyed(parts(triples), "triple_id", ["subject", "relation", "object"]), triples.count())
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
