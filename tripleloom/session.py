@@ -45,9 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows with their lineage cut by a reliable checkpoint.
+
+    A checkpointed frame keeps the constraints of its plan, which double with every round of a loop until
+    they fill the driver; the frame is rebuilt over the checkpointed rows without them.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def partitions(spark: SparkSession) -> int:
