@@ -57,44 +57,33 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     sides = cut(sides)
     if sides.isEmpty():
         return edges, edges.select(F.col("a").alias("v"), F.col("b").alias("parent")).limit(0)
-    is_two = sides.select("h", F.lit(True).alias("in_path"))
-    # lists over arcs that start in a path vertex v and go towards n: (v, n) -> next path vertex or an anchor
+    # an arc (v -> n) out of a path vertex goes on with (n -> w) if n is a path vertex, w its other neighbour;
+    # otherwise it ends at the anchor n. Arcs that have ended point to themselves.
     lists = sides.select(F.col("h").alias("v"), F.explode(F.array("n1", "n2")).alias("n"))
-    lists = lists.join(is_two.select(F.col("h").alias("n"), "in_path"), "n", "left").select(
+    on = sides.select(F.col("h").alias("n"), F.col("n1"), F.col("n2"))
+    inner = F.col("n1").isNotNull()
+    lists = lists.join(on, "n", "left").select(
         "v",
         "n",
-        F.col("v").alias("pv"),  # the arc reached so far is (pv -> pn)
-        F.col("n").alias("pn"),
-        F.coalesce("in_path", F.lit(False)).alias("open"),
+        F.when(inner, F.col("n")).otherwise(F.col("v")).alias("pv"),
+        F.when(inner, F.when(F.col("n1") == F.col("v"), F.col("n2")).otherwise(F.col("n1"))).otherwise(F.col("n")).alias("pn"),
+        F.when(~inner, F.col("n")).alias("end"),
         F.least("v", "n").alias("low"),
     )
     lists = cut(lists)
     seen = None
     while True:
-        # the arc that follows (x -> y) leaves y to its neighbour other than x: keyed by (x, y) of the arc before it
-        nxt = (
-            lists.join(sides.select(F.col("h").alias("v"), "n1", "n2"), "v")
-            .select(
-                F.when(F.col("n1") == F.col("n"), F.col("n2")).otherwise(F.col("n1")).alias("x"),
-                F.col("v").alias("y"),
-                F.col("pv").alias("qv"),
-                F.col("pn").alias("qn"),
-                F.col("open").alias("qopen"),
-                F.col("low").alias("qlow"),
-            )
-        )
-        todo, done = lists.where("open"), lists.where("not open")
-        stepped = todo.join(nxt, (todo.pv == nxt.x) & (todo.pn == nxt.y)).select(
-            "v", "n", F.col("qv").alias("pv"), F.col("qn").alias("pn"), F.col("qopen").alias("open"), F.least("low", "qlow").alias("low")
-        )
-        lists = cut(done.unionByName(stepped))
-        now = lists.where("open").agg(F.count("*"), F.sum(F.col("low").cast("decimal(38,0)"))).first()
+        now = lists.where("end is null").agg(F.count("*"), F.sum(F.col("low").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == seen:
             break
         seen = now
+        ahead = lists.select(F.col("v").alias("pv"), F.col("n").alias("pn"), F.col("pv").alias("qv"), F.col("pn").alias("qn"), F.col("end").alias("qend"), F.col("low").alias("qlow"))
+        lists = cut(
+            lists.join(ahead, ["pv", "pn"]).select("v", "n", F.col("qv").alias("pv"), F.col("qn").alias("pn"), F.coalesce("end", "qend").alias("end"), F.least("low", "qlow").alias("low"))
+        )
     # a vertex of a pure cycle points to the least vertex of the cycle; others to the smaller of their two ends
-    cycle = lists.where("open").groupBy("v").agg(F.min("low").alias("parent")).where("v <> parent")
-    ends = lists.where("not open").groupBy("v").agg(F.min("pn").alias("lo"), F.max("pn").alias("hi"))
+    cycle = lists.where("end is null").groupBy("v").agg(F.min("low").alias("parent")).where("v <> parent")
+    ends = lists.where("end is not null").groupBy("v").agg(F.min("end").alias("lo"), F.max("end").alias("hi"))
     gone = ends.select("v", F.col("lo").alias("parent")).unionByName(cycle)
     bridges = ends.where("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     removed = sides.select(F.col("h"))
