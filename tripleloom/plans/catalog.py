@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from . import text_queries
+
+MODULES = (text_queries,)
 
 
 def queries() -> dict:
