@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import graph_queries, score_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, score_queries, graph_queries)
 
 
 def queries() -> dict:
