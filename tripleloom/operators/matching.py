@@ -40,13 +40,28 @@ def span(at: Column, term: Column) -> Column:
     return F.struct((-F.length(term)).alias("nl"), at.cast("int").alias("st"), (at + F.length(term)).cast("int").alias("en"), term.alias("term"))
 
 
+def _pairs_beyond_ascii(text: Column) -> Column:
+    """Neighbouring characters of a text that are not both ASCII, marked as keys."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+    return F.transform(F.filter(F.transform(at, lambda i: F.substring(text, i, F.lit(2))), lambda p: p.rlike(r"[^\x00-\x7f]")), lambda p: F.concat(F.lit("#"), p))
+
+
 def matches(texts: DataFrame, terms: DataFrame, keys: list[str], group: str, text: str, term: str) -> DataFrame:
     """(keys..., found): per text the non-overlapping terms of its group, longest first, listed by place.
 
-    Texts meet the distinct terms of their group by an equi-join; only hits travel on, combined by text.
+    Texts and terms are in lower case. A hit holds the first ASCII word of its term as a whole word, so texts
+    meet terms by group and word, not every text of a group with every term; terms without an ASCII word go
+    by their first two characters.
     """
-    pairs = texts.select(*keys, group, F.col(text).alias("_text")).join(terms.select(group, F.col(term).alias("_term")).distinct(), group)
-    hits = pairs.where(F.contains("_text", F.col("_term"))).select(*keys, F.explode(F.transform(all_places(F.col("_text"), F.col("_term")), lambda at: span(at, F.col("_term")))).alias("s"))
+    word = F.regexp_extract("_term", "[a-z0-9]+", 0)
+    names = terms.select(group, F.col(term).alias("_term")).where("_term <> ''").distinct()
+    names = names.withColumn("_key", F.when(word != "", word).otherwise(F.concat(F.lit("#"), F.substring("_term", 1, 2))))
+    t = F.col("_text")
+    runs = F.array_distinct(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)))
+    runs = F.when(t.rlike(r"[^\x00-\x7f]"), F.array_union(runs, _pairs_beyond_ascii(t))).otherwise(runs)
+    rows = texts.select(*keys, group, F.col(text).alias("_text")).select("*", F.explode(runs).alias("_key"))
+    hits = rows.join(names, [group, "_key"]).where(F.contains("_text", F.col("_term")))
+    hits = hits.select(*keys, F.explode(F.transform(all_places(F.col("_text"), F.col("_term")), lambda at: span(at, F.col("_term")))).alias("s"))
     return hits.groupBy(*keys).agg(keep_longest(F.collect_list("s")).alias("found"))
 
 

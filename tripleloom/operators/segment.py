@@ -72,7 +72,8 @@ def char_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mos
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, k + 1, c) for i, t in zip(b["id"], b["t"]) for k, c in enumerate(pack_chars([s for s in _GAP.split(t) if s.strip()], most))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_id", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "chunk_id", "text"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where("t is not null").mapInPandas(run, f"id {kind}, chunk_id int, text string")
 
@@ -114,7 +115,8 @@ def paragraph_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, k + 1, c) for i, t in zip(b["id"], b["t"]) for k, c in enumerate(pack_paragraphs(t, most, carry, stride))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_id", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "chunk_id", "text"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where("t is not null").mapInPandas(run, f"id {kind}, chunk_id int, text string")
 

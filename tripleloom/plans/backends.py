@@ -126,6 +126,8 @@ def embedded(df: DataFrame, text: str, out: str, embedder=HashedEmbedder) -> Dat
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = embedder()
         for b in batches:
+            if b.empty:
+                continue
             yield pd.DataFrame({"p": b["p"], "v": list(model.embed(b["p"].tolist()))})
 
     return df.join(asked.mapInPandas(run, "p string, v array<double>").withColumnsRenamed({"p": text, "v": out}), text, "left")

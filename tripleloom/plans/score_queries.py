@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, judge_model, outcome_id, verdict): the document comes from the request id."""
     v = A.verdict(F.col("verdict"))
-    return outcomes(spark, d).select(F.split("custom_id", r"\|")[1].alias("doc_id"), "judge_model", "outcome_id", v.alias("verdict"))
+    return outcomes(spark, d).select(F.get(F.split("custom_id", r"\|"), F.lit(1)).alias("doc_id"), "judge_model", "outcome_id", v.alias("verdict"))
 
 
 SQL_VERDICTS = f"(SELECT string_split(custom_id, '|')[2] AS doc_id, judge_model, outcome_id, {_VERDICT} AS verdict FROM (SELECT *, translate(upper({_ENDS.format('verdict')}), '- ', '__') AS v FROM {SQL_OUTCOMES}))"

@@ -53,7 +53,7 @@ def scan_flat_graphs(spark: SparkSession, folder: str) -> DataFrame:
 
     def looks(path: str) -> Column:
         items = F.try_variant_get("v", path, "array<variant>")
-        first = items[0]
+        first = F.get(items, F.lit(0))
         named = F.coalesce(*(F.try_variant_get(first, f"$.{k}", "string") for k in ALIASES["subject"]), F.try_variant_get(first, "$[2]", "string"))
         return F.when(named.isNotNull(), items)
 
@@ -90,8 +90,8 @@ def scan_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def scan_logs(spark: SparkSession, folder: str) -> DataFrame:
     """(experiment, line) of all log files below a folder; the experiment is the folder right below it."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(folder)
-    base = F.lit(folder.rstrip("/").rpartition("/")[2])
-    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), F.concat(F.lit(r"\Q"), base, F.lit(r"\E/([^/]+)/")), F.lit(1)).alias("experiment"), F.col("value").alias("line"))
+    base = folder.rstrip("/").rpartition("/")[2]
+    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), rf"/\Q{base}\E/([^/]+)/", 1).alias("experiment"), F.col("value").alias("line"))
 
 
 def paired_lines(spark: SparkSession, left: str, right: str) -> DataFrame:
