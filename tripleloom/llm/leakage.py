@@ -91,8 +91,11 @@ def postings(docs: DataFrame, vocabulary: DataFrame, chars_too: bool) -> DataFra
     return found.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
 
 
-def aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id, need, off, ipos): item positions that the document repeats at one offset, around its rarest terms."""
+def aligned(docs: DataFrame, items: DataFrame, drift: int = 0) -> DataFrame:
+    """(item_id, doc_id, need, off, ipos): item positions that the document repeats at one offset, around its rarest terms.
+
+    With `drift`, positions at neighbouring offsets count too, each under its own offset.
+    """
     terms = cut(item_terms(items))
     vocabulary = cut(terms.select("term").distinct())
     chars_too = not terms.where("by_char").isEmpty()
@@ -111,7 +114,10 @@ def aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = anchors.join(index, "term").select("item_id", "doc_id", (F.col("pos") - F.col("apos")).alias("off"), "apos")
     # the postings that a window around the hit would need, at their place in the document
     near = terms.select("item_id", "need", "ipos", "term")
-    wanted = hits.join(near, "item_id").where("abs(ipos - apos) < need").select("item_id", "doc_id", "need", "off", "ipos", "term", (F.col("ipos") + F.col("off")).alias("pos")).distinct()
+    wanted = hits.join(near, "item_id").where("abs(ipos - apos) < need")
+    if drift:
+        wanted = wanted.withColumn("shift", F.explode(F.sequence(F.lit(-drift), F.lit(drift)))).withColumn("off", F.col("off") + F.col("shift"))
+    wanted = wanted.select("item_id", "doc_id", "need", "off", "ipos", "term", (F.col("ipos") + F.col("off")).alias("pos")).distinct()
     return wanted.join(index, ["doc_id", "term", "pos"]).select("item_id", "doc_id", "need", "off", "ipos").distinct()
 
 
@@ -137,7 +143,7 @@ def leak_report(docs: DataFrame, items: DataFrame) -> DataFrame:
     `longest` is the longest run at one offset, `matched` the item positions met within DRIFT offsets. The
     sets that a window holds are bounded by the length of an item.
     """
-    matches = cut(aligned(docs, items))
+    matches = cut(aligned(docs, items, DRIFT))
     longest = runs(matches).groupBy("item_id", "doc_id").agg(F.max("length").alias("longest"), F.first("need").alias("need"))
     sets = matches.groupBy("item_id", "doc_id", "off").agg(F.collect_set("ipos").alias("at"))
     w = Window.partitionBy("item_id", "doc_id").orderBy("off").rangeBetween(0, DRIFT)

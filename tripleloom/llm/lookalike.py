@@ -159,7 +159,7 @@ def rewriter(found: dict[str, str]):
 
 
 def code_points(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """How often the corpus uses each code point beyond ASCII letters; bounded by the size of Unicode.
+    """How often the corpus uses each code point; bounded by the size of Unicode.
 
     Counts are combined within each task before the shuffle.
     """
@@ -172,7 +172,8 @@ def code_points(docs: DataFrame, text: str = "text") -> dict[str, int]:
             for x in b["t"]:
                 if x:
                     total.update(x)
-        yield pd.DataFrame({"c": list(total), "n": list(total.values())})
+        if total:  # an empty frame of strings cannot be converted
+            yield pd.DataFrame({"c": list(total), "n": list(total.values())})
 
     part = docs.select(F.col(text).alias("t")).mapInPandas(count, "c string, n long")
     return {r["c"]: r["n"] for r in part.groupBy("c").agg(F.sum("n").alias("n")).collect()}
@@ -196,7 +197,8 @@ def consistent(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with
             out["own"] = [None if t is None else xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in b["t"]]
             if with_text:
                 out["canonical"] = forms
-            yield pd.DataFrame(out)
+            if len(b):
+                yield pd.DataFrame(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, look binary, own binary" + ", canonical string" * with_text

@@ -445,7 +445,8 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_
             }
             if with_text:
                 out["sentence"] = [t[a:b] for t, s in zip(batch["t"], spans) for a, b in s]
-            yield pd.DataFrame(out)
+            if len(flat):
+                yield pd.DataFrame(out)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     return rows.mapInPandas(run, schema)

@@ -158,7 +158,8 @@ def split_oversized(items: DataFrame, tokens_from: str = DEFAULT_TOKENIZER) -> D
                     x = 0 if a == 0 else starts[a]
                     y = len(text) if b == len(starts) else ends[b - 1]
                     rows.append((id_, k, x, y, b - a, cut, text[x:y]))
-            yield pd.DataFrame(rows, columns=["id", "piece_no", "piece_start", "piece_end", "size", "cut", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "piece_no", "piece_start", "piece_end", "size", "cut", "text"])
 
     return big.mapInPandas(run, schema)
 
