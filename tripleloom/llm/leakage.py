@@ -22,7 +22,7 @@ MIN_CHARS = 24
 BY_CHARS = ("zh",)
 #: Offsets that a proximity match may drift apart by inserted or dropped words.
 DRIFT = 3
-#: A vocabulary of at most so many terms is broadcast (8 bytes each); a larger one is joined by a shuffle.
+#: Terms and anchors up to this number are broadcast (20 bytes each at most); more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 
 
@@ -111,7 +111,8 @@ def aligned(docs: DataFrame, items: DataFrame, drift: int = 0) -> DataFrame:
         )
         picks.append(best.where((F.col("full") == need) & (F.col("m.n") > 0)).select("item_id", F.col("m.ipos").alias("apos"), F.col("m.term").alias("term")).distinct())
     anchors = cut(picks[0].unionByName(picks[1]))
-    hits = anchors.join(index, "term").select("item_id", "doc_id", (F.col("pos") - F.col("apos")).alias("off"), "apos")
+    few = anchors.count() <= BROADCAST_TERMS
+    hits = index.join(F.broadcast(anchors) if few else anchors, "term").select("item_id", "doc_id", (F.col("pos") - F.col("apos")).alias("off"), "apos")
     # the postings that a window around the hit would need, at their place in the document
     near = terms.select("item_id", "need", "ipos", "term")
     wanted = hits.join(near, "item_id").where("abs(ipos - apos) < need")

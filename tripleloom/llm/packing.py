@@ -25,8 +25,8 @@ from .tokens import DEFAULT_TOKENIZER, tokenizer
 DIMS, BITS, HASHED = 4, 8, 512
 #: Neighbours that are sorted by length before packing, and containers that stay open.
 WINDOW, OPEN = 1024, 512
-#: Tokens that one task packs; each range leaves at most OPEN containers partly filled, most of them nearly full.
-RANGE_TOKENS = 8_000_000
+#: Tokens that one task packs; a range leaves at most OPEN containers partly filled, most of them nearly full.
+RANGE_TOKENS = 50_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _NO_BLANKS = re.compile("[฀-๿぀-ヿ㐀-鿿]")
