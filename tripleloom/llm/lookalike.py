@@ -132,7 +132,8 @@ def rewriter(found: dict[str, str]):
     single = {ord(p): b for p, b in found.items() if len(p) == 1}
     # a pattern of several code points matches only where its second one occurs, which is mostly a mark
     seconds = {p[1] for p in found if len(p) > 1}
-    touched = _any_of(seconds | {p for p in found if len(p) == 1})
+    touched = frozenset(seconds | {p for p in found if len(p) == 1})
+    no_ascii = not any(c.isascii() for c in touched)
     multi = _any_of(seconds) if seconds else None
 
     def once(text: str) -> str:
@@ -146,7 +147,7 @@ def rewriter(found: dict[str, str]):
         return "".join(out)
 
     def rewrite(text: str) -> str:
-        if not touched.search(text):
+        if no_ascii and text.isascii() or touched.isdisjoint(text):
             return text
         for _ in range(PASSES):
             after = once(text)
