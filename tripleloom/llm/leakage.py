@@ -52,7 +52,9 @@ def folded(text: Column) -> Column:
     out = text
     for a, b in _LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.translate(F.lower(F.translate(out, _FROM, _TO)), "".join(_SMALL), "".join(_SMALL.values()))
+    out = F.translate(F.lower(F.translate(out, _FROM, _TO)), "".join(_SMALL), "".join(_SMALL.values()))
+    # an ASCII text has one byte a character and nothing to fold but case
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(out)
 
 
 def words(text: Column) -> Column:
