@@ -104,23 +104,27 @@ def aligned(docs: DataFrame, items: DataFrame, drift: int = 0) -> DataFrame:
     index = cut(postings(docs, vocabulary, chars_too))
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
     rated = terms.join(counts, "term", "left").select("item_id", "need", "ipos", "term", F.coalesce("n", F.lit(0)).alias("n"))
-    # the rarest term of each window; a window with a term that the corpus lacks cannot occur in it
+    # the two rarest terms of each window; a window with a term that the corpus lacks cannot occur in it
     picks = []
     for need in (MIN_WORDS, MIN_CHARS):
         w = Window.partitionBy("item_id").orderBy("ipos").rowsBetween(0, need - 1)
-        best = rated.where(F.col("need") == need).select(
-            "item_id", F.min(F.struct("n", "ipos", "term")).over(w).alias("m"), F.count("*").over(w).alias("full")
-        )
-        picks.append(best.where((F.col("full") == need) & (F.col("m.n") > 0)).select("item_id", F.col("m.ipos").alias("apos"), F.col("m.term").alias("term")).distinct())
+        rare = F.sort_array(F.collect_list(F.struct("n", "ipos", "term")).over(w))
+        best = rated.where(F.col("need") == need).select("item_id", rare.alias("m")).where((F.size("m") == need) & (F.col("m")[0]["n"] > 0))
+        one, two = F.col("m")[0], F.col("m")[1]
+        picks.append(best.select("item_id", one["ipos"].alias("apos"), one["term"].alias("term"), two["ipos"].alias("bpos"), two["term"].alias("bterm")).distinct())
     anchors = cut(picks[0].unionByName(picks[1]))
     few = anchors.count() <= BROADCAST_TERMS
-    hits = index.join(F.broadcast(anchors) if few else anchors, "term").select("item_id", "doc_id", (F.col("pos") - F.col("apos")).alias("off"), "apos")
-    # the postings that a window around the hit would need, at their place in the document
+    hits = index.join(F.broadcast(anchors) if few else anchors, "term").select("item_id", "doc_id", (F.col("pos") - F.col("apos")).alias("off"), "apos", "bpos", F.col("bterm").alias("term"))
+    if not drift:
+        # the list of the second rarest term, its offset taken off, leaves few of the hits
+        hits = hits.withColumn("pos", F.col("off") + F.col("bpos")).join(index, ["doc_id", "term", "pos"])
+    hits = hits.groupBy("item_id", "doc_id", "off").agg(F.min("apos").alias("lo"), F.max("apos").alias("hi"))
+    # the postings that the windows around the hits would need, at their place in the document
     near = terms.select("item_id", "need", "ipos", "term")
-    wanted = hits.join(near, "item_id").where("abs(ipos - apos) < need")
+    wanted = hits.join(near, "item_id").where("ipos > lo - need and ipos < hi + need")
     if drift:
         wanted = wanted.withColumn("shift", F.explode(F.sequence(F.lit(-drift), F.lit(drift)))).withColumn("off", F.col("off") + F.col("shift"))
-    wanted = wanted.select("item_id", "doc_id", "need", "off", "ipos", "term", (F.col("ipos") + F.col("off")).alias("pos")).distinct()
+    wanted = wanted.select("item_id", "doc_id", "need", "off", "ipos", "term", (F.col("ipos") + F.col("off")).alias("pos"))
     return wanted.join(index, ["doc_id", "term", "pos"]).select("item_id", "doc_id", "need", "off", "ipos").distinct()
 
 
