@@ -84,3 +84,28 @@ def response_text(body: Column, path: str = "output") -> Column:
         return F.array_join(F.try_variant_get(v, "$.candidates[0].content.parts", "array<struct<text:string>>").getField("text"), "")
     parts = F.try_variant_get(v, "$.output", "array<struct<content:array<struct<text:string>>>>")
     return F.array_join(F.flatten(F.transform(parts, lambda p: F.coalesce(p["content"].getField("text"), F.array().cast("array<string>")))), "")
+
+
+def inner_relation(sentence: Column, subject: Column, entity: Column) -> Column:
+    """What stands between the subject that begins a sentence and the entity that ends it, in lower case.
+
+    Without these ends the text before the last place of the entity counts. Fewer than two characters are null.
+    """
+    s = F.regexp_replace(F.lower(squeeze_ends(sentence)), r"[.!?]+$", "")
+    a, b = F.lower(squeeze_ends(subject)), F.lower(squeeze_ends(entity))
+    s = F.when((a != "") & F.startswith(s, a), F.substring(s, F.length(a) + 1, F.length(s))).otherwise(s)
+    # characters before the last place of the entity
+    cut_at = F.length(s) - F.instr(F.reverse(s), F.reverse(b)) - F.length(b) + 1
+    r = F.when((b != "") & F.endswith(s, b), F.substring(s, F.lit(1), F.length(s) - F.length(b))).when((b != "") & F.contains(s, b), F.substring(s, F.lit(1), cut_at)).otherwise(s)
+    r = squeeze_ends(r)
+    return F.when(F.length(r) >= 2, r)
+
+
+def strict_triples(text: Column) -> Column:
+    """Array of (subject, relation, object) of an answer: a list, {"triples": [...]} or one object; null if any item is bad or none is there."""
+    v = F.try_parse_json(json_body(text))
+    items = F.coalesce(F.try_variant_get(v, "$.triples", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.when(F.try_variant_get(v, "$.subject", "string").isNotNull(), F.array(v)))
+    part = lambda x, k: blank_to_null(squeeze_ends(F.try_variant_get(x, f"$.{k}", "string")))
+    rows = F.transform(items, lambda x: F.struct(*(part(x, k).alias(k) for k in ALIASES)))
+    good = F.forall(rows, lambda t: t["subject"].isNotNull() & t["relation"].isNotNull() & t["object"].isNotNull())
+    return F.when((F.size(rows) > 0) & good, rows)

@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import answers as A
 from ..functions import records as R
+from ..operators import retrieval
+from ..operators.segment import sentence_chunks
 from ..session import shared_folder
 from ..sources.tables import table
 from ..streaming.incremental import run_new
 from .backends import complete, embedded
-from .base import SQL_CANDIDATES, SQL_ENTITIES, SQL_TRIPLES, candidates, entities, triples
+from .base import SQL_CANDIDATES, SQL_ENTITIES, SQL_RESULTS, SQL_TRIPLES, candidates, entities, results, triples
 from .pipeline import extract
 
 QUERIES: dict = {}
@@ -99,3 +102,71 @@ def incremental_run(spark: SparkSession, d: str) -> DataFrame:
     for _ in range(2):
         run_new(spark, f"{d}/batch_results.parquet*", schema, f"{base}/out", f"{base}/state", "result_id", lambda rows: rows.select("result_id", "provider"))
     return spark.read.parquet(f"{base}/out")
+
+
+_IN = "regexp_replace(lower(regexp_replace(evidence, '^\\s+|\\s+$', '', 'g')), '[.!?]+$', '')"
+
+
+@query(
+    "inner_relations",
+    f"""WITH t AS (SELECT triple_id, {_IN} AS s, lower(regexp_replace(subject, '^\\s+|\\s+$', '', 'g')) AS a, lower(regexp_replace(object, '^\\s+|\\s+$', '', 'g')) AS b FROM {SQL_TRIPLES} WHERE evidence IS NOT NULL),
+u AS (SELECT triple_id, CASE WHEN a <> '' AND starts_with(s, a) THEN substr(s, length(a) + 1) ELSE s END AS s, b FROM t),
+v AS (SELECT triple_id, CASE WHEN b <> '' AND ends_with(s, b) THEN substr(s, 1, length(s) - length(b)) WHEN b <> '' AND contains(s, b) THEN substr(s, 1, length(s) - instr(reverse(s), reverse(b)) - length(b) + 1) ELSE s END AS r FROM u)
+SELECT triple_id, CASE WHEN length(r) >= 2 THEN r END AS relation FROM (SELECT triple_id, regexp_replace(r, '^\\s+|\\s+$', '', 'g') AS r FROM v)""",
+)
+def inner_relations(spark: SparkSession, d: str) -> DataFrame:
+    t = triples(spark, d).where("evidence is not null")
+    return t.select("triple_id", A.inner_relation(F.col("evidence"), F.col("subject"), F.col("object")).alias("relation"))
+
+
+@query("strict_answers")
+def strict_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers to triple requests that hold good triples only."""
+    rows = results(spark, d).where("custom_id like 'triples|%' and content is not null")
+    return rows.select("result_id", A.strict_triples(F.col("content")).alias("triples")).where("triples is not null")
+
+
+@query(
+    "fingerprints",
+    f"SELECT file, row_id, CASE WHEN row_id IS NULL THEN 'unknown' WHEN n > 1 THEN 'collision' ELSE 'found' END AS status FROM (SELECT result_id AS file, content AS answer FROM {SQL_RESULTS} WHERE custom_id LIKE 'summary|%' AND content IS NOT NULL) f "
+    f"LEFT JOIN (SELECT content AS answer, min(result_id) AS row_id, count(*) AS n FROM {SQL_RESULTS} WHERE content IS NOT NULL AND provider <> 'nimbus' GROUP BY 1) USING (answer)",
+)
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    rows = results(spark, d).where("content is not null")
+    files = rows.where("custom_id like 'summary|%'").select(F.col("result_id").alias("file"), F.col("content").alias("answer"))
+    return retrieval.fingerprints(files, rows.where("provider <> 'nimbus'").select(F.col("result_id").alias("row_id"), F.col("content").alias("answer")))
+
+
+@query("statement_contexts")
+def statement_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Context of each candidate fact: its whole document if short, else the chunks nearest to it."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), "text")
+    facts = embedded(candidates(spark, d).where("fact is not null").select("doc_id", F.col("cand_id").alias("stmt_id"), "fact"), "fact", "vector")
+    asked = docs.join(facts.select("doc_id").distinct(), "doc_id", "left_semi")
+    chunks = embedded(sentence_chunks(asked, ["doc_id"]), "text", "vector")
+    return retrieval.contexts(facts.select("doc_id", "stmt_id", "vector"), chunks, asked, k=5, short=200)
+
+
+@query("resolution_history")
+def resolution_history(spark: SparkSession, d: str) -> DataFrame:
+    """Before and after of every triple that the object resolution touched, with status and method."""
+    from .text_queries import QUERIES as TEXT
+
+    before = triples(spark, d).select("triple_id", F.struct("subject", "relation", "object").alias("before"))
+    after = TEXT["object_resolution"](spark, d).where("status <> 'clean'").select("triple_id", "status", "method", F.array(F.struct("subject", "relation", "object")).alias("after"))
+    return after.join(before, "triple_id").select("triple_id", "status", "method", "before", F.when(F.col("status") == "repaired", F.col("after")).otherwise(F.array().cast("array<struct<subject:string,relation:string,object:string>>")).alias("after"))
+
+
+@query(
+    "assembled",
+    f"""SELECT d.doc_id, t.n_triples, e.n_entities, c.n_facts, c.n_facts IS NOT NULL AS has_facts FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_triples FROM {SQL_TRIPLES} GROUP BY 1) t ON t.doc_id = 'doc_' || d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n_entities FROM {SQL_ENTITIES} GROUP BY 1) e ON e.doc_id = 'doc_' || d.doc_id LEFT JOIN (SELECT doc_id, count(fact) AS n_facts FROM {SQL_CANDIDATES} GROUP BY 1) c ON c.doc_id = 'doc_' || d.doc_id""",
+)
+def assembled(spark: SparkSession, d: str) -> DataFrame:
+    """One wide row a document; every side is aggregated before it is joined."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc_"), "doc_id").alias("key"))
+    t = triples(spark, d).groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n_triples"))
+    e = entities(spark, d).groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n_entities"))
+    c = candidates(spark, d).groupBy(F.col("doc_id").alias("key")).agg(F.count("fact").alias("n_facts"))
+    wide = docs.join(t, "key", "left").join(e, "key", "left").join(c, "key", "left")
+    return wide.select("doc_id", "n_triples", "n_entities", "n_facts", F.col("n_facts").isNotNull().alias("has_facts"))

@@ -293,3 +293,23 @@ def top_redundant_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "candidate_pairs").select("doc_id", "ent_a", "ent_b", "sim").where("sim is not null").distinct()
     w = Window.partitionBy("doc_id").orderBy(F.desc("sim"), "ent_a", "ent_b")
     return p.withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
+
+
+@query(
+    "run_extremes",
+    f"""WITH p AS (SELECT doc_id, judge_model, {_RATE} AS r FROM {_PER_DOC})
+SELECT x.judge_model AS run_a, y.judge_model AS run_b, max(x.r - y.r) AS best_diff, arg_min(x.doc_id, (y.r - x.r, x.doc_id)) AS best_doc, arg_min(x.doc_id, (x.r - y.r, x.doc_id)) AS worst_doc FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.judge_model < y.judge_model GROUP BY 1, 2""",
+)
+def run_extremes(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with the greatest difference either way, the smaller id on ties."""
+    p = M.faithfulness_per_doc(verdicts(spark, d), ["doc_id", "judge_model"]).select("doc_id", "judge_model", "rate")
+    both = p.toDF("doc_id", "run_a", "a").join(p.toDF("doc_id", "run_b", "b"), "doc_id").where("run_a < run_b").withColumn("diff", F.col("a") - F.col("b"))
+    low = lambda c: F.min(F.struct(c.alias("d"), "doc_id"))["doc_id"]
+    return both.groupBy("run_a", "run_b").agg(F.max("diff").alias("best_diff"), low(-F.col("diff")).alias("best_doc"), low(F.col("diff")).alias("worst_doc"))
+
+
+@query("arm_summary", "SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS arm, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2")
+def arm_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and population deviation of each arm of a comparison; the arms are the two halves of the ids."""
+    arm = F.when(F.col("event_id") % 2 == 0, "a").otherwise("b")
+    return table(spark, d, "events").groupBy(arm.alias("arm"), "event_type").agg(F.count("*").alias("n"), rnd(F.avg("value")).alias("mean"), rnd(F.stddev_pop("value")).alias("std"))
