@@ -34,7 +34,7 @@ _SENTS = (
 )
 
 
-@query("scan_documents", f"SELECT 'doc_' || doc_id AS doc_key, length(text) AS n_code_points, {words('text')} AS n_words FROM documents")
+@query("scan_documents", f"SELECT 'doc_' || doc_id AS doc_key, length(text)::INT AS n_code_points, {words('text')}::INT AS n_words FROM documents")
 def scan_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("doc_key"), F.length("text").alias("n_code_points"), T.word_count(F.col("text")).alias("n_words"))
 
@@ -67,13 +67,13 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return segment.sentence_chunks(table(spark, d, "documents"), ["doc_id"])
 
 
-@query("word_stats", f"SELECT lang, count(*) AS n_docs, sum({words('text')})::BIGINT AS n_words, max({words('text')}) AS longest FROM documents GROUP BY lang")
+@query("word_stats", f"SELECT lang, count(*) AS n_docs, sum({words('text')})::BIGINT AS n_words, max({words('text')})::INT AS longest FROM documents GROUP BY lang")
 def word_stats(spark: SparkSession, d: str) -> DataFrame:
     n = T.word_count(F.col("text"))
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_words"), F.max(n).alias("longest"))
 
 
-@query("rule_sentences", f"SELECT doc_id, len({_SENTS}) AS n_sentences FROM documents")
+@query("rule_sentences", f"SELECT doc_id, len({_SENTS})::INT AS n_sentences FROM documents")
 def rule_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(segment.rule_sentences(F.col("text"))).alias("n_sentences"))
 
@@ -93,7 +93,7 @@ def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.paragraph_chunks(table(spark, d, "documents"))
 
 
-@query("chunk_sizes", f"SELECT pipeline, count(*) AS n_chunks, sum({words('text')})::BIGINT AS n_words, max(length(text)) AS longest FROM {SQL_CHUNKS} GROUP BY 1")
+@query("chunk_sizes", f"SELECT pipeline, count(*) AS n_chunks, sum({words('text')})::BIGINT AS n_words, max(length(text))::INT AS longest FROM {SQL_CHUNKS} GROUP BY 1")
 def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).groupBy("pipeline").agg(F.count("*").alias("n_chunks"), F.sum(T.word_count(F.col("text"))).alias("n_words"), F.max(F.length("text")).alias("longest"))
 
