@@ -61,8 +61,9 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     total = cells.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("same"))
     pe = F.coalesce("xy", F.lit(0)) / (F.col("n") * F.col("n"))
     acc = F.col("same") / F.col("n")
-    # two tables of one row each
-    return total.crossJoin(chance).select("n", acc.alias("accuracy"), F.when(pe < 1, (acc - pe) / (1 - pe)).otherwise(1.0).alias("kappa"))
+    # two tables of one row each, joined on a constant
+    both = total.withColumn("_one", F.lit(1)).join(chance.withColumn("_one", F.lit(1)), "_one")
+    return both.select("n", acc.alias("accuracy"), F.when(pe < 1, (acc - pe) / (1 - pe)).otherwise(1.0).alias("kappa"))
 
 
 def entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
