@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.answers import triple_columns
 from ..sources.tables import table
 
 #: White space as Unicode has it, in the dialect of the checking database.
@@ -31,6 +32,15 @@ def triples(spark: SparkSession, folder: str) -> DataFrame:
 SQL_TRIPLES = f"(SELECT DISTINCT {', '.join(TRIPLE_COLUMNS)} FROM triples WHERE subject IS NOT NULL AND relation IS NOT NULL AND object IS NOT NULL)"
 
 
+def stated_triples(spark: SparkSession, folder: str) -> DataFrame:
+    """Triples whose three parts are stated in columns or in the payload, redelivered rows once.
+
+    For queries without SQL; SQL_TRIPLES and the queries checked against it know the columns only.
+    """
+    rows = triple_columns(table(spark, folder, "triples").select(*TRIPLE_COLUMNS, "payload"))
+    return rows.where("subject is not null and relation is not null and object is not null").select(*TRIPLE_COLUMNS).distinct()
+
+
 def entities(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "raw_entities").distinct()
 

@@ -15,7 +15,7 @@ from ..session import shared_folder
 from ..sources.tables import table
 from ..streaming.incremental import run_new
 from .backends import complete, embedded
-from .base import SQL_CANDIDATES, SQL_ENTITIES, SQL_RESULTS, SQL_TRIPLES, candidates, entities, results, triples
+from .base import SQL_CANDIDATES, SQL_ENTITIES, SQL_RESULTS, SQL_TRIPLES, candidates, entities, results, stated_triples, triples
 from .pipeline import extract
 
 QUERIES: dict = {}
@@ -152,7 +152,7 @@ def resolution_history(spark: SparkSession, d: str) -> DataFrame:
     """Before and after of every triple that the object resolution touched, with status and method."""
     from .text_queries import QUERIES as TEXT
 
-    before = triples(spark, d).select("triple_id", F.struct("subject", "relation", "object").alias("before"))
+    before = stated_triples(spark, d).select("triple_id", F.struct("subject", "relation", "object").alias("before"))
     after = TEXT["object_resolution"](spark, d).where("status <> 'clean'").select("triple_id", "status", "method", F.array(F.struct("subject", "relation", "object")).alias("after"))
     return after.join(before, "triple_id").select("triple_id", "status", "method", "before", F.when(F.col("status") == "repaired", F.col("after")).otherwise(F.array().cast("array<struct<subject:string,relation:string,object:string>>")).alias("after"))
 

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import matching, resolve, segment
 from ..operators.components import keep_first
 from ..sources.tables import table
-from .base import SQL_CANDIDATES, SQL_CHUNKS, SQL_ENTITIES, SQL_OUTCOMES, SQL_RESULTS, SQL_TRIPLES, UWS, candidates, chunks, entities, outcomes, results, rnd, sq, triples, words
+from .base import SQL_CANDIDATES, SQL_CHUNKS, SQL_ENTITIES, SQL_OUTCOMES, SQL_RESULTS, SQL_TRIPLES, UWS, candidates, chunks, entities, outcomes, results, rnd, sq, stated_triples, triples, words
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -347,14 +347,14 @@ def ordered_distinct_names(spark: SparkSession, d: str) -> DataFrame:
 
 def known_names(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, name): entities of each document, from the entity table and from the subjects of its triples."""
-    return entities(spark, d).select("doc_id", "name").unionByName(triples(spark, d).select("doc_id", F.col("subject").alias("name"))).where("name is not null").distinct()
+    return entities(spark, d).select("doc_id", "name").unionByName(stated_triples(spark, d).select("doc_id", F.col("subject").alias("name"))).where("name is not null").distinct()
 
 
 @query("entity_matches")
 def entity_matches(spark: SparkSession, d: str) -> DataFrame:
     """Entities of the document inside each object, longest first where they overlap, and the text around them."""
     names = known_names(spark, d).select("doc_id", resolve.normalized(F.col("name")).alias("name")).where("length(name) > 1")
-    objects = triples(spark, d).select("triple_id", "doc_id", resolve.normalized(F.col("object")).alias("obj"))
+    objects = stated_triples(spark, d).select("triple_id", "doc_id", resolve.normalized(F.col("object")).alias("obj"))
     found = matching.matches(objects, names, ["triple_id", "obj"], "doc_id", "obj", "name")
     return found.select("triple_id", F.size("found").alias("n"), matching.segments(F.col("obj"), F.col("found")).alias("parts"))
 
@@ -372,7 +372,7 @@ def fact_entity_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("object_resolution")
 def object_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.resolved(triples(spark, d), known_names(spark, d))
+    return resolve.resolved(stated_triples(spark, d), known_names(spark, d))
 
 
 _W = "[\\p{L}\\p{N}_]"
