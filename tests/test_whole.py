@@ -1,5 +1,10 @@
 """Cases in which a shortcut of an operator would lose rows."""
 
+import random
+
+import pytest
+
+from tripleloom.operators import graph
 from tripleloom.plans import graph_queries
 
 PARTS = "triple_id long, doc_id string, chunk_id int, triple_ord int, subject string, relation string, object string, evidence string, payload string, pipeline string, origin string"
@@ -18,3 +23,16 @@ def test_payload_triples_reach_the_graph(spark, tmp_path):
     got = graph_queries.graph_structure(spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.n_strong, r.largest_strong) for r in got] == [("d", 1, 2)]
     assert {r.v for r in graph_queries.pagerank(spark, str(tmp_path)).collect()} == {"a", "b"}
+
+
+@pytest.mark.parametrize("limit", [0, 12])
+def test_large_groups_get_their_strong_components(spark, monkeypatch, limit):
+    rng = random.Random(7)
+    rows = [("a", f"v{i}", f"v{(i + 1) % 9}") for i in range(9)] + [("b", f"v{i}", f"v{i + 1}") for i in range(6)] + [("b", "v2", "v2"), ("b", "self", "self")]
+    rows += [("c", f"v{rng.randrange(30)}", f"v{rng.randrange(30)}") for _ in range(45)]
+    df = spark.createDataFrame(rows, "doc_id string, src string, dst string")
+    key = lambda r: (r.doc_id, r.n_strong, r.largest_strong)
+    want = sorted(map(key, graph.group_structure(df, "doc_id").collect()))
+    assert want[:2] == [("a", 1, 9), ("b", 8, 1)]
+    monkeypatch.setattr(graph, "GROUP_EDGES", limit)
+    assert sorted(map(key, graph.group_structure(df, "doc_id").collect())) == want

@@ -133,18 +133,66 @@ def betweenness(nodes: list, edges: list[tuple]) -> dict:
     return {v: x * scale for v, x in score.items()}
 
 
-#: A group of more edges than this gets its counts by distributed operators only; the per-group algorithms need all edges of a group at once.
+#: The strong components of a group of more edges than this come from joins; smaller groups fit one task.
 GROUP_EDGES = 20_000
 BETWEENNESS_NODES = 100
 
 
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, c): the least label c that reaches v along the edges (src, dst), by rounds of grouped minima until none changes."""
+    before = None
+    while True:
+        moved = edges.join(labels.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), "c")
+        labels = cut(labels.unionByName(moved).groupBy("v").agg(F.min("c").alias("c")))
+        now = labels.agg(F.count("*"), F.sum(F.xxhash64("v", "c").cast("decimal(38,0)"))).first()
+        if now == before:
+            return labels
+        before = now
+
+
+def joined_strong_components(edges: DataFrame) -> DataFrame:
+    """(v, root) of an edge table (src, dst): strongly connected components by joins; no component is ever collected.
+
+    Vertices without an edge in or out are components of their own and trimmed, as long as that takes a good part. Then
+    the least vertex that reaches v colours it; those of a colour that reach its first vertex back are its component.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    live = cut(e.select(F.col("src").alias("v")).unionByName(e.select(F.col("dst").alias("v"))).distinct())
+    e, left, found = e.where("src <> dst"), live.count(), []
+    while left:
+        inner = cut(e.select(F.col("src").alias("v")).intersect(e.select(F.col("dst").alias("v"))))
+        kept = inner.count()
+        if kept < left:
+            found.append(live.join(inner, "v", "left_anti").select("v", F.col("v").alias("root")))
+        e = cut(e.join(inner.select(F.col("v").alias("src")), "src", "left_semi").join(inner.select(F.col("v").alias("dst")), "dst", "left_semi"))
+        trimmed, live, left = left - kept, inner, kept
+        if not left or trimmed * 10 > left:
+            continue
+        colours = _spread(live.select("v", F.col("v").alias("c")), e)
+        # only edges within a colour can lie in a component; followed back from the first vertex
+        c = lambda end: colours.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}"))
+        within = cut(e.join(c("src"), "src").join(c("dst"), "dst").where("c_src = c_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        comps = _spread(colours.where("v = c"), within).select("v", F.col("c").alias("root"))
+        found.append(comps)
+        live = cut(live.join(comps, "v", "left_anti"))
+        e = cut(e.join(live.select(F.col("v").alias("src")), "src", "left_semi").join(live.select(F.col("v").alias("dst")), "dst", "left_semi"))
+        left = live.count()
+    if not found:
+        return live.select("v", F.col("v").alias("root"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def group_structure(edges: DataFrame, group: str) -> DataFrame:
-    """(group, n_strong, largest_strong, max_betweenness) of groups of at most GROUP_EDGES distinct edges.
+    """(group, n_strong, largest_strong, max_betweenness) of the distinct edges of each group.
 
-    Betweenness is null from BETWEENNESS_NODES nodes on. Larger groups come out with nulls.
+    Betweenness is null from BETWEENNESS_NODES nodes on. Groups of up to GROUP_EDGES edges are taken whole by a task,
+    larger ones by joins.
     """
-    e = edges.select(group, "src", "dst").distinct()
-    sizes = e.groupBy(group).agg(F.count("*").alias("n"))
+    e = cut(edges.select(group, "src", "dst").distinct())
+    sizes = cut(e.groupBy(group).agg(F.count("*").alias("n")))
     kind = edges.schema[group].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,7 +202,16 @@ def group_structure(edges: DataFrame, group: str) -> DataFrame:
         most = max(betweenness(nodes, links).values()) if len(nodes) < BETWEENNESS_NODES else None
         return pd.DataFrame({"g": [pdf[group].iloc[0]], "n_strong": [len(comps)], "largest_strong": [max(map(len, comps))], "max_betweenness": pd.array([most], dtype="Float64")})
 
-    small = e.join(sizes.where(F.col("n") <= GROUP_EDGES).select(group), group, "left_semi").groupBy(group).applyInPandas(run, f"g {kind}, n_strong long, largest_strong long, max_betweenness double")
+    large = sizes.where(F.col("n") > GROUP_EDGES).select(group)
+    same = F.col(group).eqNullSafe(F.col("_g"))
+    big = large.withColumnRenamed(group, "_g")
+    small = e.join(big, same, "left_anti").groupBy(group).applyInPandas(run, f"g {kind}, n_strong long, largest_strong long, max_betweenness double")
     small = small.withColumnRenamed("g", group)
-    big = sizes.where(F.col("n") > GROUP_EDGES).select(group, F.lit(None).cast("long").alias("n_strong"), F.lit(None).cast("long").alias("largest_strong"), F.lit(None).cast("double").alias("max_betweenness"))
-    return small.unionByName(big)
+    if large.isEmpty():
+        return small
+    # more than GROUP_EDGES distinct edges need more than BETWEENNESS_NODES nodes
+    node = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("v"))
+    ids = joined_strong_components(e.join(big, same, "left_semi").select(node("src").alias("src"), node("dst").alias("dst")))
+    comps = ids.groupBy("root").agg(F.count("*").alias("n"))
+    counts = comps.groupBy(F.col("root.g").alias(group)).agg(F.count("*").alias("n_strong"), F.max("n").alias("largest_strong"))
+    return small.unionByName(counts.withColumn("max_betweenness", F.lit(None).cast("double")))
