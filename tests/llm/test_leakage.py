@@ -49,3 +49,23 @@ def test_near(spark):
 def test_large_vocabularies_are_joined(spark, monkeypatch, limit):
     monkeypatch.setattr(K, "BROADCAST_TERMS", limit)
     assert run(spark, [(1, ITEM)]) == [(1, 1)]
+
+
+def report(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, lang string, text string")
+    return {(r.item_id, r.doc_id): (r.kind, r.longest, r.matched) for r in K.leak_report(d, i).collect()}
+
+
+def test_near_with_a_word_of_the_item_alone(spark, monkeypatch):
+    ws = [f"w{i}" for i in range(23)]
+    changed = " ".join([*ws[:11], "other", *ws[12:]])
+    every_third = " ".join(w if i % 3 else f"x{i}" for i, w in enumerate(ws))
+    docs = [(1, changed), (2, every_third), (3, " ".join(ws[:11])), (4, "pad " * 9000 + changed + " pad" * 9000)]
+    docs += [(5, HAN[:12] + "新" + HAN[13:])]
+    items = [(1, "en", " ".join(ws)), (2, "zh", HAN)]
+    want = {(1, 1): ("near", 11, 22), (1, 2): ("near", 2, 15), (1, 4): ("near", 11, 22), (2, 5): ("near", len(HAN) - 13, len(HAN) - 1)}
+    assert report(spark, docs, items) == want
+    monkeypatch.setattr(K, "BROADCAST_TERMS", 10)
+    monkeypatch.setattr(K, "BLOCK", 7)
+    assert report(spark, docs, items) == want

@@ -8,7 +8,10 @@ that hit are intersected after taking off their offset, and runs of consecutive
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ MIN_CHARS = 24
 BY_CHARS = ("zh",)
 #: Offsets that a proximity match may drift apart by inserted or dropped words.
 DRIFT = 3
+#: Offsets of a document that the search for proximity matches takes at once.
+BLOCK = 4096
 #: Terms and anchors up to this number are broadcast (20 bytes each at most); more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -93,11 +98,8 @@ def postings(docs: DataFrame, vocabulary: DataFrame, chars_too: bool) -> DataFra
     return found.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
 
 
-def aligned(docs: DataFrame, items: DataFrame, drift: int = 0) -> DataFrame:
-    """(item_id, doc_id, need, off, ipos): item positions that the document repeats at one offset, around its rarest terms.
-
-    With `drift`, positions at neighbouring offsets count too, each under its own offset.
-    """
+def aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, need, off, ipos): item positions that the document repeats at one offset, around its rarest terms."""
     terms = cut(item_terms(items))
     vocabulary = cut(terms.select("term").distinct())
     chars_too = not terms.where("by_char").isEmpty()
@@ -115,15 +117,12 @@ def aligned(docs: DataFrame, items: DataFrame, drift: int = 0) -> DataFrame:
     anchors = cut(picks[0].unionByName(picks[1]))
     few = anchors.count() <= BROADCAST_TERMS
     hits = index.join(F.broadcast(anchors) if few else anchors, "term").select("item_id", "doc_id", (F.col("pos") - F.col("apos")).alias("off"), "apos", "bpos", F.col("bterm").alias("term"))
-    if not drift:
-        # the list of the second rarest term, its offset taken off, leaves few of the hits
-        hits = hits.withColumn("pos", F.col("off") + F.col("bpos")).join(index, ["doc_id", "term", "pos"])
+    # the list of the second rarest term, its offset taken off, leaves few of the hits
+    hits = hits.withColumn("pos", F.col("off") + F.col("bpos")).join(index, ["doc_id", "term", "pos"])
     hits = hits.groupBy("item_id", "doc_id", "off").agg(F.min("apos").alias("lo"), F.max("apos").alias("hi"))
     # the postings that the windows around the hits would need, at their place in the document
     near = terms.select("item_id", "need", "ipos", "term")
     wanted = hits.join(near, "item_id").where("ipos > lo - need and ipos < hi + need")
-    if drift:
-        wanted = wanted.withColumn("shift", F.explode(F.sequence(F.lit(-drift), F.lit(drift)))).withColumn("off", F.col("off") + F.col("shift"))
     wanted = wanted.select("item_id", "doc_id", "need", "off", "ipos", "term", (F.col("ipos") + F.col("off")).alias("pos"))
     return wanted.join(index, ["doc_id", "term", "pos"]).select("item_id", "doc_id", "need", "off", "ipos").distinct()
 
@@ -144,20 +143,93 @@ def exact_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return runs(aligned(docs, items)).where("length >= need").select("item_id", "doc_id").distinct()
 
 
+def _near(stream: np.ndarray, vocabulary: np.ndarray, first: np.ndarray, item: np.ndarray, ipos: np.ndarray, need: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(item code, longest, matched) of the items that a document, a stream of terms, matches within DRIFT offsets.
+
+    Places of the vocabulary's term k are first[k]:first[k + 1] of item and ipos; `most` is the largest place.
+    """
+    n, blocks = len(first) - 1, []
+    at = np.minimum(np.searchsorted(vocabulary, stream), n - 1)
+    pos = np.flatnonzero(vocabulary[at] == stream)
+    at = at[pos]
+    # an offset belongs to one block; the last DRIFT of a block are the first of the next
+    for start in range(-most, len(stream), BLOCK):
+        lo, hi = np.searchsorted(pos, (start, start + BLOCK + DRIFT + most))
+        k, p = at[lo:hi], pos[lo:hi]
+        size = first[k + 1] - first[k]
+        where = np.repeat(first[k] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        off = np.repeat(p, size) - ipos[where] - start
+        fits = (off >= 0) & (off < BLOCK + DRIFT)
+        blocks.append((start, item[where[fits]], off[fits], ipos[where[fits]]))
+    # cells of DRIFT + 1 offsets: a window lies in two neighbours, so both together must hold enough hits
+    wide = (min(BLOCK, len(stream) + most) + DRIFT) // (DRIFT + 1) + 2
+    some = np.zeros(len(need), bool)
+    for _, i, off, _ in blocks:
+        cells = np.bincount(i * wide + off // (DRIFT + 1), minlength=len(need) * wide).reshape(len(need), wide)
+        some |= (cells[:, :-1] + cells[:, 1:]).max(1) >= need
+    best: dict[int, list[int]] = {}
+    for start, i, off, at in blocks:
+        keep = some[i]
+        i, off, at = i[keep], off[keep], at[keep]
+        order = np.lexsort((at, off, i))
+        i, off, at = i[order], off[order], at[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (np.diff(i) != 0) | (np.diff(off) != 0) | (np.diff(at) != 1)
+        edge = np.flatnonzero(new)
+        for c, length in zip(i[edge].tolist(), np.diff([*edge, len(i)]).tolist()):
+            b = best.setdefault(c, [0, 0])
+            b[0] = max(b[0], length)
+        for c in np.unique(i).tolist():
+            a, z = np.searchsorted(i, (c, c + 1))
+            o, x = off[a:z], at[a:z]
+            starts = np.unique(o)
+            left, right = np.searchsorted(o, starts), np.searchsorted(o, starts + DRIFT, "right")
+            # only windows of more hits than the best so far can hold more positions
+            for l, r in zip(left.tolist(), right.tolist()):
+                if r - l > best[c][1]:
+                    best[c][1] = max(best[c][1], len(np.unique(x[l:r])))
+    return [(c, *b) for c, b in best.items() if b[1] >= need[c]]
+
+
 def leak_report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id, kind, longest, matched): exact leaks, and proximity matches of as many words at drifting offsets.
 
-    `longest` is the longest run at one offset, `matched` the item positions met within DRIFT offsets. The
-    sets that a window holds are bounded by the length of an item.
+    `longest` is the longest run at one offset, `matched` the item positions met within DRIFT offsets, counted over
+    all terms: a match needs no particular word. Documents are read one by one against the places of the items' terms,
+    those of about BROADCAST_TERMS places at a time.
     """
-    matches = cut(aligned(docs, items, DRIFT))
-    longest = runs(matches).groupBy("item_id", "doc_id").agg(F.max("length").alias("longest"), F.first("need").alias("need"))
-    sets = matches.groupBy("item_id", "doc_id", "off").agg(F.collect_set("ipos").alias("at"))
-    w = Window.partitionBy("item_id", "doc_id").orderBy("off").rangeBetween(0, DRIFT)
-    near = sets.select("item_id", "doc_id", F.size(F.array_distinct(F.flatten(F.collect_list("at").over(w)))).alias("m")).groupBy("item_id", "doc_id").agg(F.max("m").alias("matched"))
-    both = longest.join(near, ["item_id", "doc_id"])
-    kind = F.when(F.col("longest") >= F.col("need"), "exact").when(F.col("matched") >= F.col("need"), "near")
-    return both.select("item_id", "doc_id", kind.alias("kind"), "longest", "matched").where("kind is not null")
+    terms = cut(item_terms(items))
+    spark = docs.sparkSession
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    hashed = lambda toks, by_char: F.transform(toks, lambda t: F.xxhash64(t, F.lit(by_char)))
+    kind = f"code int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, longest int, matched int"
+    out = spark.createDataFrame([], f"item_id {items.schema['item_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, need int, longest int, matched int")
+    for by_char in (False, True):
+        side = terms.where(F.col("by_char") == by_char)
+        parts = -(-side.count() // BROADCAST_TERMS) if BROADCAST_TERMS else 1
+        stream = rows.where(F.col("text").rlike(r"\p{IsHan}")).select("doc_id", hashed(letters(F.col("text")), True).alias("s")) if by_char else rows.select("doc_id", hashed(words(F.col("text")), False).alias("s"))
+        for part in range(parts):
+            mine = side.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+            ids = mine.groupBy("item_id").agg(F.first("need").alias("need"), F.count("*").alias("n")).where("n >= need").toPandas()
+            if not len(ids):
+                continue
+            ids["code"] = np.arange(len(ids), dtype=np.int32)
+            codes = spark.createDataFrame(ids[["code", "item_id", "need"]], f"code int, item_id {items.schema['item_id'].dataType.simpleString()}, need int")
+            places = mine.join(F.broadcast(codes.select("code", "item_id")), "item_id").select("term", "code", "ipos").toPandas().sort_values("term", kind="stable")
+            vocabulary, first = np.unique(places["term"].to_numpy(), return_index=True)
+            shared = spark.sparkContext.broadcast((vocabulary, np.append(first, len(places)), places["code"].to_numpy().astype(np.int64), places["ipos"].to_numpy().astype(np.int64), ids["need"].to_numpy().astype(np.int64), int(places["ipos"].max())))
+
+            def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    found = []
+                    for doc, s in zip(batch.column(0), batch.column(1)):
+                        found += [(c, doc.as_py(), a, b) for c, a, b in _near(s.values.to_numpy(), *shared.value)]
+                    cols = list(zip(*found)) or [()] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], batch.schema.field(0).type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["code", "doc_id", "longest", "matched"])
+
+            out = out.unionByName(stream.mapInArrow(run, kind).join(F.broadcast(codes), "code").drop("code"))
+    out = out.groupBy("item_id", "doc_id").agg(F.max("need").alias("need"), F.max("longest").alias("longest"), F.max("matched").alias("matched"))
+    return out.select("item_id", "doc_id", F.when(F.col("longest") >= F.col("need"), "exact").otherwise("near").alias("kind"), "longest", "matched")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
