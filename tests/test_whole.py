@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tripleloom.functions import records
 from tripleloom.operators import graph
 from tripleloom.plans import graph_queries
 
@@ -36,3 +37,12 @@ def test_large_groups_get_their_strong_components(spark, monkeypatch, limit):
     assert want[:2] == [("a", 1, 9), ("b", 8, 1)]
     monkeypatch.setattr(graph, "GROUP_EDGES", limit)
     assert sorted(map(key, graph.group_structure(df, "doc_id").collect())) == want
+
+
+def test_probes_of_any_script_and_length_find_their_document(spark):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(300))
+    five = " ".join(f"{'abcdefghij'[i % 10] * 14}{i}" for i in range(40))
+    items = [(1, han), (2, five), (3, "ab cd ef"), (4, "x" + han[::-1])]
+    docs = [(7, "前。" + han + "后"), (8, "so " + five), (9, "the ab cd ef gh"), (10, han[:100] + "新" + han[101:150])]
+    got = records.best_probe(spark.createDataFrame(items, "item long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 7, "probes"), (2, 8, "probes"), (3, 9, "probes")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Bracket and quote tokens of a treebank and what they stand for.
 TREEBANK = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}", "``": '"', "''": '"'}
 
@@ -53,19 +55,18 @@ def list_triples(df: DataFrame, relations: str, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "triple_ord", F.col("t")[0].alias("subject"), F.col("t")[1].alias("relation"), F.col("t")[2].alias("object"))
 
 
-def _with_keys(df: DataFrame, text: str) -> DataFrame:
-    """Adds the hashes of all runs of four words; the words are split once, outside the function over them."""
-    df = df.withColumn("_w", F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "))
-    runs = F.sequence(F.lit(1), F.greatest(F.size("_w") - 3, F.lit(1)))
-    return df.withColumn("_keys", F.transform(runs, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, 4), " "))))
+#: Characters of the start of a probe that look it up.
+GRAM = 12
+#: Probes up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_PROBES = 100_000
 
 
 def best_probe(items: DataFrame, docs: DataFrame, prefix: int = 250, probe: int = 80) -> DataFrame:
     """(item, doc_id, how): documents (doc_id, text) for items (item, text) by an equal start, else by probes.
 
     Four probes of an item are looked up; two hits in a document are needed and the document with most hits
-    wins, the smaller id on ties. Probes meet documents through the hashes of their first words, so no item
-    is compared with every document.
+    wins, the smaller id on ties. Probes meet documents through their first GRAM characters, whatever
+    the script; only a probe shorter than that is compared with every document.
     """
     head = lambda c: F.substring(c, 1, prefix)
     exact = items.select("item", head("text").alias("h")).join(docs.select("doc_id", head("text").alias("h")), "h").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.lit("prefix").alias("how"))
@@ -73,9 +74,15 @@ def best_probe(items: DataFrame, docs: DataFrame, prefix: int = 250, probe: int
     step = F.greatest(F.floor((F.length("text") - probe) / 3), F.lit(1))
     places = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (k * step + 1).cast("int"))
     probes = rest.select("item", "text", F.posexplode(places).alias("k", "at")).select("item", "k", F.substring(F.col("text"), F.col("at"), F.lit(probe)).alias("p"))
-    # the second run of four words of a probe is whole in both texts
-    probes = _with_keys(probes, "p").withColumn("key", F.try_element_at("_keys", F.lit(2))).where("key is not null").select("item", "k", "p", "key")
-    hits = _with_keys(docs.select("doc_id", "text"), "text").select("doc_id", "text", F.explode(F.array_distinct("_keys")).alias("key")).join(probes, "key").where(F.contains("text", F.col("p")))
+    probes = cut(probes.where("p <> ''").withColumn("key", F.substring("p", 1, GRAM)))
+    keyed, short = (probes.where(F.length("p") >= GRAM), probes.where(F.length("p") < GRAM))
+    keys = keyed.select("item", "k", "key")
+    # every position of a text starts a run of GRAM characters
+    grams = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))).alias("key"))
+    near = grams.join(F.broadcast(keys) if keys.count() <= BROADCAST_PROBES else keys, "key").select("doc_id", "item", "k").distinct()
+    hits = near.join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("item", "k", "p"), ["item", "k"]).where(F.contains("text", F.col("p"))).select("item", "doc_id", "k")
+    if not short.isEmpty():
+        hits = hits.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("p"))).select("item", "doc_id", "k"))
     count = hits.select("item", "doc_id", "k").distinct().groupBy("item", "doc_id").agg(F.count("*").alias("n")).where("n >= 2")
     best = count.groupBy("item").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("d"))).alias("m")).select("item", (-F.col("m.d")).alias("doc_id"), F.lit("probes").alias("how"))
     return exact.unionByName(best)
