@@ -6,7 +6,7 @@ import pytest
 
 from tripleloom.functions import records
 from tripleloom.operators import graph
-from tripleloom.plans import graph_queries
+from tripleloom.plans import graph_queries, pipeline
 
 PARTS = "triple_id long, doc_id string, chunk_id int, triple_ord int, subject string, relation string, object string, evidence string, payload string, pipeline string, origin string"
 
@@ -46,3 +46,20 @@ def test_probes_of_any_script_and_length_find_their_document(spark):
     docs = [(7, "前。" + han + "后"), (8, "so " + five), (9, "the ab cd ef gh"), (10, han[:100] + "新" + han[101:150])]
     got = records.best_probe(spark.createDataFrame(items, "item long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == [(1, 7, "probes"), (2, 8, "probes"), (3, 9, "probes")]
+
+
+class Blank:
+    def complete(self, prompts):
+        return ['{"triples": [{"subject": "ann", "relation": "met", "object": "rome"}]}' for _ in prompts]
+
+
+def test_objects_of_several_entities_are_split(spark):
+    rows = [(1, "d", "ann", "met", "old rome, bob and eve"), (2, "d", "ann", "is", "part of rome within gaul"), (3, "d", "ann", "saw", "rome"), (4, "d", "", "saw", "rome and bob")]
+    df = spark.createDataFrame(rows, "triple_id int, doc_id string, subject string, relation string, object string")
+    names = spark.createDataFrame([("d", n) for n in ("Rome", "Bob", "Eve", "Gaul")], "doc_id string, name string")
+    got = lambda b: sorted((r.triple_id, r.part, r.subject, r.relation, r.object, r.status) for r in pipeline.repaired(df, names, b).collect())
+    kept = [(3, 0, "ann", "saw", "rome", "repaired"), (4, 0, "", "saw", "rome and bob", "failed")]
+    hub = [(1, k, "ann", "met old", o, "repaired") for k, o in enumerate(("rome", "bob", "eve"))]
+    chain = [(2, 0, "ann", "is part of", "rome", "repaired"), (2, 1, "rome", "within", "gaul", "repaired")]
+    assert got(pipeline.RuleBackend) == hub + chain + kept
+    assert got(Blank) == [(i, 0, s, r, o, "repaired" if i == 3 else "failed") for i, _, s, r, o in rows]

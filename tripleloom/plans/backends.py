@@ -47,6 +47,19 @@ class RuleBackend:
                     if between and len(between.split()) <= 8:
                         out.append({"subject": a.group(), "relation": between, "object": b.group()})
             return json.dumps({"triples": out}, ensure_ascii=False)
+        if task.startswith("Split the triple"):
+            t = json.loads(body)
+            source, relation, out = t.get("subject") or "", t.get("relation") or "", []
+            for e in t["entities"]:
+                link = " ".join(e["before"].split()).strip(" ,;:.()\"'")
+                if not out:
+                    relation = f"{relation} {link}".strip()
+                elif link not in ("", "and", "or", "as well as", "&"):
+                    # words of their own between two entities make a chain, anything else a list
+                    source, relation = out[-1]["object"], re.sub(r"^(?:and|or) ", "", link)
+                out.append({"subject": source, "relation": relation, "object": e["term"]})
+            out[-1]["relation"] = f"{relation} {t['entities'][-1]['after'].strip(' ,;:.')}".strip()
+            return json.dumps({"triples": out}, ensure_ascii=False)
         if task.startswith("Summarise"):
             return body[:500]
         return "{}"

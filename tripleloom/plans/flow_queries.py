@@ -153,7 +153,9 @@ def resolution_history(spark: SparkSession, d: str) -> DataFrame:
     from .text_queries import QUERIES as TEXT
 
     before = stated_triples(spark, d).select("triple_id", F.struct("subject", "relation", "object").alias("before"))
-    after = TEXT["object_resolution"](spark, d).where("status <> 'clean'").select("triple_id", "status", "method", F.array(F.struct("subject", "relation", "object")).alias("after"))
+    after = TEXT["object_resolution"](spark, d).where("status <> 'clean'")
+    after = after.groupBy("triple_id", "status", "method").agg(F.sort_array(F.collect_list(F.struct("part", "subject", "relation", "object"))).alias("after"))
+    after = after.withColumn("after", F.transform("after", lambda t: F.struct(t["subject"].alias("subject"), t["relation"].alias("relation"), t["object"].alias("object"))))
     return after.join(before, "triple_id").select("triple_id", "status", "method", "before", F.when(F.col("status") == "repaired", F.col("after")).otherwise(F.array().cast("array<struct<subject:string,relation:string,object:string>>")).alias("after"))
 
 

@@ -105,7 +105,7 @@ def resolution_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per pipeline: clean, repaired and failed triples of the object resolution, and their shares."""
     from .text_queries import QUERIES as TEXT
 
-    done = TEXT["object_resolution"](spark, d).join(stated_triples(spark, d).select("triple_id", "pipeline"), "triple_id")
+    done = TEXT["object_resolution"](spark, d).where("part = 0").join(stated_triples(spark, d).select("triple_id", "pipeline"), "triple_id")
     out = done.groupBy("pipeline").agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(s) for s in ("clean", "repaired", "failed")))
     return out.select("*", *(M.rate(100 * F.col(s), F.col("n")).alias(f"{s}_percent") for s in ("clean", "repaired", "failed")))
 

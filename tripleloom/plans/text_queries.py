@@ -372,7 +372,9 @@ def fact_entity_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("object_resolution")
 def object_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.resolved(stated_triples(spark, d), known_names(spark, d))
+    from .pipeline import repaired
+
+    return repaired(stated_triples(spark, d), known_names(spark, d))
 
 
 _W = "[\\p{L}\\p{N}_]"
