@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tripleloom.functions import records
-from tripleloom.operators import graph
+from tripleloom.operators import cluster, graph
 from tripleloom.plans import graph_queries, pipeline
 
 PARTS = "triple_id long, doc_id string, chunk_id int, triple_ord int, subject string, relation string, object string, evidence string, payload string, pipeline string, origin string"
@@ -63,3 +64,16 @@ def test_objects_of_several_entities_are_split(spark):
     chain = [(2, 0, "ann", "is part of", "rome", "repaired"), (2, 1, "rome", "within", "gaul", "repaired")]
     assert got(pipeline.RuleBackend) == hub + chain + kept
     assert got(Blank) == [(i, 0, s, r, o, "repaired" if i == 3 else "failed") for i, _, s, r, o in rows]
+
+
+def test_clusters_of_large_groups(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(8, 6))[rng.integers(0, 8, 4100)] + rng.normal(scale=0.05, size=(4100, 6))
+    rows = [(1, i, v.tolist()) for i, v in enumerate(m)] + [(2, i, v.tolist()) for i, v in enumerate(m[:50])]
+    df = spark.createDataFrame(rows, "label int, vec_id int, embedding array<double>")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    args = (df, "label", "vec_id", "embedding")
+    for got, how in ((cluster.leader_clusters(*args, 0.6), lambda x: cluster.leader_labels(x, 0.6)), (cluster.per_group(*args, cluster.density_labels), cluster.density_labels)):
+        got = {(r.label, r.vec_id): r.cluster for r in got.collect()}
+        want = {(g, i): int(c) for g, x in ((1, unit), (2, unit[:50])) for i, c in enumerate(how(x))}
+        assert got == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,13 +76,14 @@ def density_labels(x: np.ndarray, min_size: int = 2, epsilon: float = 0.05) -> n
     n = len(x)
     if n < max(2, min_size):
         return np.full(n, -1)
-    dist = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
     seen, low, near, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
     at = 0
     for _ in range(n - 1):
         seen[at] = True
-        better = ~seen & (dist[at] < low)
-        low[better], near[better] = dist[at][better], at
+        # one row of distances at a time: the tree needs no matrix
+        dist = np.sqrt(np.maximum(((x - x[at]) ** 2).sum(-1), 0))
+        better = ~seen & (dist < low)
+        low[better], near[better] = dist[better], at
         at = int(np.argmin(np.where(seen, np.inf, low)))
         edges.append((low[at], near[at], at))
     edges.sort()
@@ -163,21 +166,50 @@ def _under(node: int, clusters: dict) -> list[int]:
     return out
 
 
-#: The most items of a group that the per-group algorithms take; distance matrices stay below 130 MB.
-GROUP_ITEMS = 4000
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), dtype=np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
 def per_group(vectors: DataFrame, group: str, id_col: str, vec: str, how) -> DataFrame:
-    """(group, id, label) by an algorithm that needs a whole group of at most GROUP_ITEMS vectors; larger ones raise."""
+    """(group, id, cluster) by an algorithm that needs a whole group; a task holds the vectors of one group of any size."""
     g, i = (vectors.schema[c].dataType.simpleString() for c in (group, id_col))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > GROUP_ITEMS:
-            raise ValueError(f"a group has {len(pdf)} vectors; this algorithm takes at most {GROUP_ITEMS}")
         pdf = pdf.sort_values("i")
-        m = np.array(pdf["v"].tolist(), dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        return pd.DataFrame({"g": pdf["g"], "i": pdf["i"], "label": np.asarray(how(m), dtype=np.int64)})
+        return pd.DataFrame({"g": pdf["g"], "i": pdf["i"], "cluster": np.asarray(how(_unit(pdf["v"])), dtype=np.int64)})
 
     rows = vectors.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.col(vec).alias("v"))
-    return rows.groupBy("g").applyInPandas(run, f"g {g}, i {i}, label bigint").withColumnsRenamed({"g": group, "i": id_col})
+    return rows.groupBy("g").applyInPandas(run, f"g {g}, i {i}, cluster bigint").withColumnsRenamed({"g": group, "i": id_col})
+
+
+def leader_clusters(vectors: DataFrame, group: str, id_col: str, vec: str, least: float) -> DataFrame:
+    """(group, id, cluster) as leader_labels gives them: groups are streamed in the order of their ids, only leaders are held."""
+    g, i = (vectors.schema[c].dataType.simpleString() for c in (group, id_col))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, k, places, leaders = None, 0, 0, [], None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            labels = []
+            for key, v in zip(pdf["key"].tolist(), _unit(pdf["v"])):
+                if key != at:
+                    at, n, k, places, leaders = key, 0, 0, [], np.empty((16, len(v)))
+                sims = leaders[:k] @ v
+                best = int(sims.argmax()) if k else -1
+                if k and sims[best] >= least:
+                    labels.append(places[best])
+                else:
+                    if k == len(leaders):
+                        leaders = np.concatenate([leaders, np.empty_like(leaders)])
+                    leaders[k] = v
+                    k += 1
+                    places.append(n)
+                    labels.append(n)
+                n += 1
+            yield pd.DataFrame({"g": pdf["g"], "i": pdf["i"], "cluster": np.array(labels, dtype=np.int64)})
+
+    rows = vectors.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.col(vec).alias("v"), F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("key"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "i")
+    return rows.mapInPandas(run, f"g {g}, i {i}, cluster bigint").withColumnsRenamed({"g": group, "i": id_col})

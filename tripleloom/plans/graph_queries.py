@@ -169,7 +169,7 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("leader_clusters")
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return C.per_group(vecs(spark, d), "label", "vec_id", "embedding", lambda m: C.leader_labels(m, 0.6))
+    return C.leader_clusters(vecs(spark, d), "label", "vec_id", "embedding", 0.6)
 
 
 _MERGE = """WITH RECURSIVE ents AS (SELECT doc_id, ent_key, min(ent_id) AS ent_id FROM raw_entities GROUP BY 1, 2),
