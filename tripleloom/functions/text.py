@@ -51,6 +51,11 @@ def verbalized(s: Column, r: Column, o: Column) -> Column:
     return F.concat_ws(" ", *(blank_to_null(squeeze(x)) for x in (s, r, o)))
 
 
+def malformed(s: Column, r: Column, o: Column) -> Column:
+    """Whether a part is missing or blank."""
+    return F.exists(F.array(s, r, o), lambda x: F.coalesce(squeeze(x), F.lit("")) == "")
+
+
 def templated(s: Column, r: Column, o: Column) -> Column:
     return F.concat(squeeze(s), F.lit(" "), squeeze(r), F.lit(" "), squeeze(o), F.lit("."))
 

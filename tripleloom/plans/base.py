@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.answers import triple_columns
+from ..functions.answers import ALIASES, triple_columns
 from ..sources.tables import table
 
 #: White space as Unicode has it, in the dialect of the checking database.
@@ -24,21 +24,25 @@ def words(x: str) -> str:
 TRIPLE_COLUMNS = ("triple_id", "doc_id", "chunk_id", "triple_ord", "subject", "relation", "object", "evidence", "pipeline", "origin")
 
 
-def triples(spark: SparkSession, folder: str) -> DataFrame:
-    """Triples stated in columns, redelivered rows once."""
-    return table(spark, folder, "triples").where("subject is not null and relation is not null and object is not null").select(*TRIPLE_COLUMNS).distinct()
+def every_triple(spark: SparkSession, folder: str) -> DataFrame:
+    """Triples as stated in columns or in the payload, redelivered rows once; missing parts are null."""
+    return triple_columns(table(spark, folder, "triples").select(*TRIPLE_COLUMNS, "payload")).select(*TRIPLE_COLUMNS).distinct()
+
 
+def triples(spark: SparkSession, folder: str) -> DataFrame:
+    """Triples that have all three parts, stated in columns or in the payload."""
+    return every_triple(spark, folder).where("subject is not null and relation is not null and object is not null")
 
-SQL_TRIPLES = f"(SELECT DISTINCT {', '.join(TRIPLE_COLUMNS)} FROM triples WHERE subject IS NOT NULL AND relation IS NOT NULL AND object IS NOT NULL)"
 
+def sql_part(name: str) -> str:
+    """SQL for a part of a triple: its column, or where all three are null the payload under any of its names."""
+    inside = ", ".join(f"json_extract_string(payload, '$.{k}')" for k in ALIASES[name])
+    return f"CASE WHEN subject IS NULL AND relation IS NULL AND object IS NULL THEN CASE WHEN json_valid(payload) THEN coalesce({inside}) END ELSE {name} END"
 
-def stated_triples(spark: SparkSession, folder: str) -> DataFrame:
-    """Triples whose three parts are stated in columns or in the payload, redelivered rows once.
 
-    For queries without SQL; SQL_TRIPLES and the queries checked against it know the columns only.
-    """
-    rows = triple_columns(table(spark, folder, "triples").select(*TRIPLE_COLUMNS, "payload"))
-    return rows.where("subject is not null and relation is not null and object is not null").select(*TRIPLE_COLUMNS).distinct()
+_OTHERS = ", ".join(c for c in TRIPLE_COLUMNS if c not in ALIASES)
+SQL_EVERY_TRIPLE = f"(SELECT DISTINCT {_OTHERS}, {', '.join(f'{sql_part(n)} AS {n}' for n in ALIASES)} FROM triples)"
+SQL_TRIPLES = f"(SELECT * FROM {SQL_EVERY_TRIPLE} WHERE subject IS NOT NULL AND relation IS NOT NULL AND object IS NOT NULL)"
 
 
 def entities(spark: SparkSession, folder: str) -> DataFrame:

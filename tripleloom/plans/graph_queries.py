@@ -11,7 +11,7 @@ from ..operators import linking as L
 from ..operators import vectors as V
 from ..operators.components import star_components
 from ..sources.tables import table
-from .base import SQL_CHUNKS, SQL_ENTITIES, SQL_TRIPLES, chunks, entities, rnd, sq, stated_triples, triples
+from .base import SQL_CHUNKS, SQL_ENTITIES, SQL_TRIPLES, chunks, entities, rnd, sq, triples
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -34,10 +34,6 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return G.clean_edges(triples(spark, d), ["triple_id", "doc_id", "pipeline"])
 
 
-def stated_edges(spark: SparkSession, d: str) -> DataFrame:
-    return G.clean_edges(stated_triples(spark, d), ["triple_id", "doc_id", "pipeline"])
-
-
 @query("graph_vertices", f"SELECT doc_id, name, min(place)::BIGINT AS place FROM (SELECT doc_id, src AS name, triple_id * 2 AS place FROM {_EDGES} UNION ALL SELECT doc_id, dst, triple_id * 2 + 1 FROM {_EDGES}) GROUP BY 1, 2")
 def graph_vertices(spark: SparkSession, d: str) -> DataFrame:
     return G.vertices(edges(spark, d), "doc_id", "triple_id")
@@ -64,18 +60,18 @@ def in_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pagerank")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return G.pagerank(stated_edges(spark, d), rounds=10)
+    return G.pagerank(edges(spark, d), rounds=10)
 
 
 @query("graph_structure")
 def graph_structure(spark: SparkSession, d: str) -> DataFrame:
-    return G.group_structure(stated_edges(spark, d), "doc_id")
+    return G.group_structure(edges(spark, d), "doc_id")
 
 
 @query("weak_components")
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
     """Components of the graph of each document, by the names of its vertices."""
-    e = stated_edges(spark, d)
+    e = edges(spark, d)
     key = lambda c: F.concat_ws("\x1f", "doc_id", c)
     roots = star_components(e.select(key("src").alias("a"), key("dst").alias("b")), "a", "b")
     parts = F.split("root", "\x1f")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..operators import metrics as M
 from ..sources.tables import table
-from .base import SQL_CANDIDATES, SQL_ENTITIES, SQL_OUTCOMES, SQL_RESULTS, SQL_TRIPLES, candidates, entities, outcomes, results, rnd, sq, stated_triples, triples, words
+from .base import SQL_CANDIDATES, SQL_ENTITIES, SQL_OUTCOMES, SQL_RESULTS, SQL_TRIPLES, candidates, entities, outcomes, results, rnd, sq, triples, words
 from .text_queries import _VERDICT, _ENDS
 
 QUERIES: dict = {}
@@ -105,7 +105,7 @@ def resolution_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per pipeline: clean, repaired and failed triples of the object resolution, and their shares."""
     from .text_queries import QUERIES as TEXT
 
-    done = TEXT["object_resolution"](spark, d).where("part = 0").join(stated_triples(spark, d).select("triple_id", "pipeline"), "triple_id")
+    done = TEXT["object_resolution"](spark, d).where("part = 0").join(triples(spark, d).select("triple_id", "pipeline"), "triple_id")
     out = done.groupBy("pipeline").agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(s) for s in ("clean", "repaired", "failed")))
     return out.select("*", *(M.rate(100 * F.col(s), F.col("n")).alias(f"{s}_percent") for s in ("clean", "repaired", "failed")))
 
@@ -218,7 +218,7 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("correlation_tests")
 def correlation_tests(spark: SparkSession, d: str) -> DataFrame:
-    b = stated_triples(spark, d).groupBy("pipeline", "doc_id").agg(F.count("*").cast("double").alias("x"), F.count_distinct("relation").cast("double").alias("y"))
+    b = triples(spark, d).groupBy("pipeline", "doc_id").agg(F.count("*").cast("double").alias("x"), F.count_distinct("relation").cast("double").alias("y"))
     return M.correlations(b, ["pipeline"], "x", "y").where("n >= 5").orderBy(F.desc(F.abs("spearman")))
 
 

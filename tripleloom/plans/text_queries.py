@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import matching, resolve, segment
 from ..operators.components import keep_first
 from ..sources.tables import table
-from .base import SQL_CANDIDATES, SQL_CHUNKS, SQL_ENTITIES, SQL_OUTCOMES, SQL_RESULTS, SQL_TRIPLES, UWS, candidates, chunks, entities, outcomes, results, rnd, sq, stated_triples, triples, words
+from .base import SQL_CANDIDATES, SQL_CHUNKS, SQL_ENTITIES, SQL_OUTCOMES, SQL_EVERY_TRIPLE, SQL_RESULTS, SQL_TRIPLES, UWS, candidates, chunks, entities, every_triple, outcomes, results, rnd, sq, sql_part, triples, words
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -143,10 +143,15 @@ def verbalized(spark: SparkSession, d: str) -> DataFrame:
     return triples(spark, d).select("triple_id", T.verbalized(s, r, o).alias("statement"), T.templated(s, r, o).alias("templated"))
 
 
-@query("malformed_triples", f"SELECT pipeline, count(*) AS n, count(*) FILTER (WHERE {_SRO[0]} = '' OR {_SRO[1]} = '' OR {_SRO[2]} = '') AS n_malformed FROM {SQL_TRIPLES} GROUP BY 1")
+@query(
+    "malformed_triples",
+    f"SELECT pipeline, count(*) AS n, count(*) FILTER (WHERE subject IS NULL OR relation IS NULL OR object IS NULL) AS n_missing, count(*) FILTER (WHERE coalesce({_SRO[0]}, '') = '' OR coalesce({_SRO[1]}, '') = '' OR coalesce({_SRO[2]}, '') = '') AS n_malformed FROM {SQL_EVERY_TRIPLE} GROUP BY 1",
+)
 def malformed_triples(spark: SparkSession, d: str) -> DataFrame:
-    bad = (T.squeeze(F.col("subject")) == "") | (T.squeeze(F.col("relation")) == "") | (T.squeeze(F.col("object")) == "")
-    return triples(spark, d).groupBy("pipeline").agg(F.count("*").alias("n"), F.count_if(bad).alias("n_malformed"))
+    """Triples with a missing or blank part, payloads that do not parse among them."""
+    missing = F.col("subject").isNull() | F.col("relation").isNull() | F.col("object").isNull()
+    bad = T.malformed(F.col("subject"), F.col("relation"), F.col("object"))
+    return every_triple(spark, d).groupBy("pipeline").agg(F.count("*").alias("n"), F.count_if(missing).alias("n_missing"), F.count_if(bad).alias("n_malformed"))
 
 
 _ENDS = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -218,13 +223,7 @@ def name_classes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(T.name_class(F.col("source"), rules, "other").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-_PAYLOAD = "CASE WHEN subject IS NULL AND relation IS NULL AND object IS NULL THEN CASE WHEN json_valid(payload) THEN coalesce({}) END ELSE {} END"
-
-
-@query(
-    "normalized_triples",
-    "SELECT DISTINCT triple_id, " + ", ".join(_PAYLOAD.format(", ".join(f"json_extract_string(payload, '$.{k}')" for k in ks), n) + f" AS {n}" for n, ks in A.ALIASES.items()) + " FROM triples",
-)
+@query("normalized_triples", f"SELECT DISTINCT triple_id, {', '.join(f'{sql_part(n)} AS {n}' for n in A.ALIASES)} FROM triples")
 def normalized_triples(spark: SparkSession, d: str) -> DataFrame:
     return A.triple_columns(table(spark, d, "triples").select("triple_id", "subject", "relation", "object", "payload")).select("triple_id", *A.ALIASES).distinct()
 
@@ -347,14 +346,14 @@ def ordered_distinct_names(spark: SparkSession, d: str) -> DataFrame:
 
 def known_names(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, name): entities of each document, from the entity table and from the subjects of its triples."""
-    return entities(spark, d).select("doc_id", "name").unionByName(stated_triples(spark, d).select("doc_id", F.col("subject").alias("name"))).where("name is not null").distinct()
+    return entities(spark, d).select("doc_id", "name").unionByName(triples(spark, d).select("doc_id", F.col("subject").alias("name"))).where("name is not null").distinct()
 
 
 @query("entity_matches")
 def entity_matches(spark: SparkSession, d: str) -> DataFrame:
     """Entities of the document inside each object, longest first where they overlap, and the text around them."""
     names = known_names(spark, d).select("doc_id", resolve.normalized(F.col("name")).alias("name")).where("length(name) > 1")
-    objects = stated_triples(spark, d).select("triple_id", "doc_id", resolve.normalized(F.col("object")).alias("obj"))
+    objects = triples(spark, d).select("triple_id", "doc_id", resolve.normalized(F.col("object")).alias("obj"))
     found = matching.matches(objects, names, ["triple_id", "obj"], "doc_id", "obj", "name")
     return found.select("triple_id", F.size("found").alias("n"), matching.segments(F.col("obj"), F.col("found")).alias("parts"))
 
@@ -374,7 +373,7 @@ def fact_entity_labels(spark: SparkSession, d: str) -> DataFrame:
 def object_resolution(spark: SparkSession, d: str) -> DataFrame:
     from .pipeline import repaired
 
-    return repaired(stated_triples(spark, d), known_names(spark, d))
+    return repaired(triples(spark, d), known_names(spark, d))
 
 
 _W = "[\\p{L}\\p{N}_]"
