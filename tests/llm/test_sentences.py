@@ -63,15 +63,65 @@ def test_odd_texts():
     assert len(cuts(long)) == 2
 
 
+def plain_run(cls, state=0):
+    want = []
+    for c in cls:
+        want.append(bool(S._OUT[c, state]))
+        state = S._TO[c, state]
+    return want, state
+
+
 def test_scan_equals_a_plain_run():
     rng = random.Random(3)
     for n in (0, 1, 63, 64, 65, 1000):
-        cls = np.array([rng.randrange(S.N_CLASSES) for _ in range(n)], np.int64)
-        state, want = 0, []
-        for c in cls:
-            want.append(bool(S._OUT[c, state]))
-            state = S._TO[c, state]
-        assert S.scan(cls).tolist() == want
+        for entry in (0, 3, 12):
+            cls = np.array([rng.randrange(S.N_CLASSES) for _ in range(n)], np.int64)
+            want, after = plain_run(cls, entry)
+            assert S.scan(cls, entry).tolist() == want
+            assert S.left_function(cls)[entry] == after
+
+
+def test_right_machine_in_parts():
+    rng = random.Random(5)
+    for _ in range(60):
+        ev = np.array([rng.randrange(S.N_EVENTS) for _ in range(rng.randrange(1, 60))], np.int64)
+        ev[[rng.random() < 0.1 for _ in ev]] = S.P
+        whole, k = S.resolved(ev), rng.randrange(len(ev) + 1)
+        keep, adds = S.right_function(ev[k:])
+        assert np.concatenate([S.resolved(ev[:k], adds), S.resolved(ev[k:])]).tolist() == whole.tolist()
+        assert keep == (S.P not in ev[k:])
+
+
+def test_stray_quotes_open_nothing():
+    assert cuts("It is « new. They said so. Then it » ended.\n\nA « stray sign. It stays.") == ["It is « new. They said so. Then it » ended.", "A « stray sign.", "It stays."]
+
+
+def test_long_first_line_is_a_heading():
+    head = "Of the salt " * 20 + "trade"
+    assert cuts(head + "\nIt is old. It ends here.") == [head, "It is old.", "It ends here."]
+
+
+def long_texts():
+    rng = random.Random(9)
+    bits = [x for v in CASES.values() for x in v] + ["« one. Two ", "three », he said.", " “low", "a\n\nB", "\u200b\u200b", "该站很小。", "ราคา บาท", "e.g.", "19. Mai", '"', "   ", "\n", "word", "Mr.\u200b Lo"]
+    return ["".join(rng.choice(bits) + rng.choice([" ", "", "\n"]) for _ in range(rng.randrange(1, 90))) for _ in range(40)]
+
+
+@pytest.mark.parametrize("piece", [8, 50, 333])
+def test_pieces_equal_the_whole_text(spark, piece):
+    texts = [*long_texts(), "\u200b \n" * 30, "x" * 500, "“" * 400, ". " * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    got = sorted(map(tuple, S.sentences(df, piece=piece, with_text=True).where("id > 0 or length(sentence) >= 0").distinct().collect()))
+    want = [(i, k, a, b, t[a:b]) for i, t in enumerate(texts) for k, (a, b) in enumerate(S.segment([t])[0])]
+    assert got == want
+
+
+def test_a_large_document_spreads_over_tasks(spark):
+    text = " ".join(x for _ in range(2500) for v in CASES.values() for x in v)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert len(S.borders(text, 1 << 16)) > 30
+    got = [(r.sent_start, r.sent_end) for r in S.sentences(df, piece=1 << 16).orderBy("sent_no").collect()]
+    assert got == S.segment([text])[0]
 
 
 def test_batch_equals_single_texts(spark):

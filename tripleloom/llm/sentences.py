@@ -1,22 +1,27 @@
 """Sentence boundaries across languages and scripts, by a finite transducer run as a prefix scan.
 
-Boundary rules are compiled into events (marks, quotes, paragraph breaks) and a transducer over them whose
-state is the open quotation. A block of events is a function from the state before it to the state after
-it; blocks of all documents of a batch, long ones included, are composed by a parallel prefix scan, and
-each block then replays from its known entry state to emit boundaries. Offsets are code points.
+Boundary rules are compiled into events (marks, quotes, paragraph breaks) and two machines over them. One reads from
+the right; its state is the set of quotations that still close in the paragraph, which tells an opening sign from a
+stray one. The other reads from the left; its state is the open quotation, and it emits the boundaries. A piece of
+text is a function from the state before it to the state after it, for either machine. Pieces of long documents are
+rows of their own, worked on by any task; their functions are composed by a scan over (document, piece), and each
+piece then replays from the state that it is entered in. Short texts take the same steps in blocks of one batch.
+Offsets are code points.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources.tables import table
 from .lookalike import CYRILLIC, GREEK, INVISIBLE
 
@@ -49,9 +54,12 @@ OPENERS = "«„“「『‹‘([{¿¡（【《〈"
 #: Quotation kinds: (opening, closing) signs; the sixth is the straight quote, which opens and closes.
 KINDS = (("„", "“”"), ("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ('"', '"'))
 N_KINDS = len(KINDS)
-#: A first line of at most so many characters without a closing mark is a heading.
-HEADING_CHARS = 100
 BLOCK = 64
+#: Documents of more code points are cut into pieces of about so many.
+PIECE = 1 << 16
+#: Code points around a piece that its rules may look at. Pieces are cut inside words, so that no sign or blank at a
+#: border belongs to two of them, and the rules look no further than one word on either side.
+MARGIN = 64
 
 _SAME = {ord(k): v for t in (CYRILLIC, GREEK) for k, v in t.items()}
 _ASCII = {0xFF01 + i: chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalnum() or chr(0x21 + i) in '."\'('} | {0x2010: "-", 0x2011: "-"}
@@ -87,7 +95,10 @@ N_STATES = 1 + 2 * N_KINDS
 B, P = 0, 1  # a boundary unless quoted; a boundary that also ends any quotation
 _OPEN, _CLOSE, _CLOSE_END, _CLOSE_CJK, _TOGGLE = (2, 2 + 2 * N_KINDS, 2 + 3 * N_KINDS, 2 + 4 * N_KINDS, 2 + 5 * N_KINDS)
 _LOW9, _LOW9_END = _TOGGLE + 2, _TOGGLE + 4  # the sign that closes a low quotation and opens a high one
-N_CLASSES = _LOW9_END + 2
+N_EVENTS = _LOW9_END + 2
+# what the left machine reads in place of signs that nothing closes: those that then can only close, and no event
+_LOW_ONLY, _LOW_ONLY_END, _NOTHING = N_EVENTS, N_EVENTS + 1, N_EVENTS + 2
+N_CLASSES = _NOTHING + 1
 
 
 def _compile() -> tuple[np.ndarray, np.ndarray]:
@@ -112,41 +123,103 @@ def _compile() -> tuple[np.ndarray, np.ndarray]:
             to[c + s, 0] = 1 + 2 * 1 + s
             to[c + s, [1, 2]] = 0
         out[_LOW9_END + s, [1, 2]] = True
+    for c in (_LOW_ONLY, _LOW_ONLY_END):
+        to[c, [1, 2]] = 0
+    out[_LOW_ONLY_END, [1, 2]] = True
     return to, out
 
 
+def _compile_right() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the right machine: (kinds that an event class closes, kind that must close for it to open, class if none does)."""
+    closes = np.zeros((N_EVENTS, N_KINDS), bool)
+    needs, instead = np.full(N_EVENTS, -1), np.arange(N_EVENTS)
+    for k in range(N_KINDS):
+        closes[[_CLOSE + k, _CLOSE_END + k, _CLOSE_CJK + k], k] = True
+        needs[[_OPEN + 2 * k, _OPEN + 2 * k + 1]], instead[[_OPEN + 2 * k, _OPEN + 2 * k + 1]] = k, _NOTHING
+    for s in (0, 1):
+        closes[[_LOW9 + s, _LOW9_END + s], 0] = True
+        closes[_TOGGLE + s, N_KINDS - 1] = True
+        needs[[_LOW9 + s, _LOW9_END + s, _TOGGLE + s]] = 1, 1, N_KINDS - 1
+        instead[[_LOW9 + s, _LOW9_END + s, _TOGGLE + s]] = _LOW_ONLY, _LOW_ONLY_END, _CLOSE + N_KINDS - 1
+    return closes, needs, instead
+
+
 _TO, _OUT = _compile()
+_CLOSES, _NEEDS, _INSTEAD = _compile_right()
+
+
+def right_function(events: np.ndarray) -> tuple[bool, int]:
+    """(whether the kinds that close to the right of the piece still do so, kinds that close in it) before its first event."""
+    paras = np.flatnonzero(events == P)
+    head = events[: paras[0]] if len(paras) else events
+    return len(paras) == 0, int((_CLOSES[head].any(0) << np.arange(N_KINDS)).sum()) if len(head) else 0
 
 
-def scan(classes: np.ndarray) -> np.ndarray:
-    """Whether each event of a stream that begins outside quotations emits a boundary.
+def resolved(events: np.ndarray, closing: int = 0) -> np.ndarray:
+    """Classes for the left machine: signs that nothing closes in their paragraph open nothing.
 
-    Blocks step side by side through all states at once, their functions are composed by a prefix scan
-    in log2(blocks) steps, and a second pass replays each block from its entry state.
+    `closing` has the kinds that close to the right of the events, before a paragraph ends.
     """
-    n = len(classes)
-    blocks = -(-n // BLOCK)
-    # padding repeats an event that maps every state to itself: opening kind 0 does not, so use an unused close
-    padded = np.full(blocks * BLOCK, N_CLASSES, np.int64)
-    padded[:n] = classes
+    n = len(events)
+    at = np.arange(n)
+    paras = np.append(at[events == P], n)
+    para = paras[np.searchsorted(paras, at, side="right")]
+    out = events.copy()
+    for k in range(N_KINDS):
+        asks = np.flatnonzero(_NEEDS[events] == k)
+        if len(asks):
+            # a place after the last event stands for what closes further right
+            shut = np.append(at[_CLOSES[events, k]], n if closing >> k & 1 else n + 1)
+            first = shut[np.searchsorted(shut, asks, side="right")]
+            stray = asks[(first > para[asks]) | (first == para[asks]) & (first < n)]
+            out[stray] = _INSTEAD[events[stray]]
+    return out
+
+
+def compose(functions: np.ndarray) -> np.ndarray:
+    """Prefix compositions of state functions (n, states), in log2(n) steps."""
+    step = 1
+    while step < len(functions):
+        after = functions.copy()
+        after[step:] = np.take_along_axis(functions[step:], functions[:-step], axis=1)
+        functions, step = after, step * 2
+    return functions
+
+
+def _grid(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes in rows of BLOCK, state function of each row); all rows step side by side through all states."""
+    blocks = -(-len(classes) // BLOCK)
+    padded = np.full(blocks * BLOCK, _NOTHING, np.int64)
+    padded[: len(classes)] = classes
     grid = padded.reshape(blocks, BLOCK)
-    to = np.vstack([_TO, np.arange(N_STATES, dtype=np.uint8)[None]])
-    out = np.vstack([_OUT, np.zeros((1, N_STATES), bool)])
     whole = np.tile(np.arange(N_STATES, dtype=np.uint8), (blocks, 1))
     for j in range(BLOCK):
-        whole = to[grid[:, j, None], whole]
-    step = 1
-    while step < blocks:
-        after = whole.copy()
-        after[step:] = np.take_along_axis(whole[step:], whole[:-step], axis=1)
-        whole, step = after, step * 2
-    state = np.zeros(blocks, np.uint8)
-    state[1:] = whole[:-1, 0]
-    emits = np.zeros((blocks, BLOCK), bool)
+        whole = _TO[grid[:, j, None], whole]
+    return grid, whole
+
+
+def left_function(classes: np.ndarray) -> np.ndarray:
+    """State after the classes, for each state before them."""
+    if not len(classes):
+        return np.arange(N_STATES, dtype=np.uint8)
+    return compose(_grid(classes)[1])[-1]
+
+
+def scan(classes: np.ndarray, entry: int = 0) -> np.ndarray:
+    """Whether each class of a stream that is entered in a state emits a boundary.
+
+    The functions of the blocks are composed by a prefix scan, and a second pass replays each block from its entry state.
+    """
+    if not len(classes):
+        return np.zeros(0, bool)
+    grid, whole = _grid(classes)
+    state = np.full(len(grid), entry, np.uint8)
+    state[1:] = compose(whole)[:-1, entry]
+    emits = np.zeros(grid.shape, bool)
     for j in range(BLOCK):
-        emits[:, j] = out[grid[:, j], state]
-        state = to[grid[:, j], state]
-    return emits.reshape(-1)[:n]
+        emits[:, j] = _OUT[grid[:, j], state]
+        state = _TO[grid[:, j], state]
+    return emits.reshape(-1)[: len(classes)]
 
 
 # ---- events ---------------------------------------------------------------------------------------
@@ -180,9 +253,13 @@ def _begins(t: str, at: int, gap_needed: bool) -> bool:
     return gap
 
 
+#: No rule accepts a longer word before a point, even with its accents written apart.
+REACH = 2 * max(map(len, _GOES_ON | _BEFORE_NUMBER)) + 8
+
+
 def _goes_on(t: str, at: int) -> bool:
     """Whether the point at `at` belongs to an abbreviation, initial or ordinal that the sentence continues after."""
-    m = _LAST_WORD.search(t, max(0, at - 24), at)
+    m = _LAST_WORD.search(t, max(0, at - REACH), at)
     if not m:
         return False
     raw = m.group()
@@ -216,20 +293,25 @@ _KIND_OF_OPENER = {o: k for k, (o, _) in enumerate(KINDS)}
 _KIND_OF_CLOSER = {"”": 1, "»": 2, "」": 3, "』": 4, '"': 5}
 
 
-def _events(t: str, pos: list[int], cls: list[int]) -> None:
-    """Appends the end offset and class of every event of t."""
+def _events(t: str, pos: list[int], cls: list[int], low: int = 0, high: int | None = None) -> None:
+    """Appends the end offset and class of every event of t that begins in [low, high); a text has its heading at 0."""
     n, heading = len(t), False
-    first = t.find("\n", len(t) - len(t.lstrip()))
-    if 0 < first < n:
+    high = n if high is None else high
+    first = t.find("\n", n - len(t.lstrip())) if low == 0 else -1
+    if 0 < first < high:
         line = t[:first].strip()
         rest = first
         while rest < n and t[rest].isspace():
             rest += 1
         ends = line[-1:] and (line[-1] in MARKS or line[-1] in CJK_MARKS or line[-1] in STOPS or line.rstrip("\"'”’»」』)）")[-1:] in tuple(MARKS + CJK_MARKS + STOPS))
-        heading = bool(line and not ends and len(line) <= HEADING_CHARS and rest < n and not t[rest].islower())
+        heading = bool(line and not ends and rest < n and not t[rest].islower())
     begun = len(pos)
     for m in _EVENT.finditer(t):
         kind, s, e = m.lastgroup, m.start(), m.end()
+        if s < low:
+            continue
+        if s >= high:
+            break
         if kind == "para":
             pos.append(s)
             cls.append(P)
@@ -336,73 +418,35 @@ def _point_ends(t: str, s: int, body: str, stop: int, e: int, ellipsis: bool, cj
     return not (stop == e and _goes_on(t, s))
 
 
-def _matched(pos: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Keeps all events but quotations that open and do not close before the paragraph ends."""
-    keep = np.ones(len(cls), bool)
-    at = np.arange(len(cls))
-    paras = np.append(at[cls == P], len(cls))
-    for k in range(N_KINDS):
-        opened = at[(cls == _OPEN + 2 * k) | (cls == _OPEN + 2 * k + 1)]
-        shut = (cls == _CLOSE + k) | (cls == _CLOSE_END + k) | (cls == _CLOSE_CJK + k)
-        if k == 0:
-            shut |= (cls >= _LOW9) & (cls < N_CLASSES)
-        if k == N_KINDS - 1:
-            shut |= (cls == _TOGGLE) | (cls == _TOGGLE + 1)
-        shut = np.append(at[shut], len(cls))
-        first_shut = shut[np.searchsorted(shut, opened, side="right")]
-        first_para = paras[np.searchsorted(paras, opened, side="right")]
-        keep[opened[first_shut >= first_para]] = False
-    # the same for the signs that open when nothing is open to close
-    ups = at[((cls == _LOW9) | (cls == _LOW9 + 1))]
-    if len(ups):
-        shut = np.append(at[(cls == _CLOSE + 1) | (cls == _CLOSE_END + 1) | (cls == _CLOSE_CJK + 1)], len(cls))
-        low = at[(cls == _OPEN) | (cls == _OPEN + 1)]
-        first_shut = shut[np.searchsorted(shut, ups, side="right")]
-        first_para = paras[np.searchsorted(paras, ups, side="right")]
-        last_para = np.append(-1, paras)[np.searchsorted(paras, ups, side="left")]
-        last_low = np.append(-1, low)[np.searchsorted(low, ups, side="left")]
-        keep[ups[(first_shut >= first_para) & (last_low <= last_para)]] = False
-    tog = at[(cls == _TOGGLE) | (cls == _TOGGLE + 1)]
-    if len(tog):
-        both = np.append(at[(cls == _CLOSE + 5) | (cls == _CLOSE_END + 5) | (cls == _CLOSE_CJK + 5) | (cls == _TOGGLE) | (cls == _TOGGLE + 1)], len(cls))
-        opened = at[(cls == _OPEN + 10) | (cls == _OPEN + 11)]
-        first_shut = both[np.searchsorted(both, tog, side="right")]
-        first_para = paras[np.searchsorted(paras, tog, side="right")]
-        last_para = np.append(-1, paras)[np.searchsorted(paras, tog, side="left")]
-        last_open = np.append(-1, opened)[np.searchsorted(opened, tog, side="left")]
-        keep[tog[(first_shut >= first_para) & (last_open <= last_para)]] = False
-    return keep
+def _plain(t: str) -> tuple[str, list[int] | None]:
+    """The text that the rules see, without invisible signs and in ASCII where that looks the same, and where its characters stood."""
+    back = None
+    if not t.isascii():
+        if _GONE.search(t):
+            back = [i for i, ch in enumerate(t) if ch not in _HIDDEN]
+            t = _GONE.sub("", t)
+        if _WIDE.search(t):
+            t = t.translate(_ASCII)
+    return t, back
 
 
 def segment(texts: Sequence[str | None]) -> list[list[tuple[int, int]]]:
     """(start, end) code-point offsets of the sentences of each text; null and blank texts have none."""
-    bases, cleaned, maps = [], [], []
+    plain = [_plain(t or "") for t in texts]
     pos: list[int] = []
     cls: list[int] = []
     owner: list[tuple[int, int]] = []
-    for t in texts:
-        t = t or ""
-        back = None
-        if not t.isascii():
-            if _GONE.search(t):
-                back = [i for i, ch in enumerate(t) if ch not in _HIDDEN]
-                t = _GONE.sub("", t)
-            if _WIDE.search(t):
-                t = t.translate(_ASCII)
-        cleaned.append(t)
-        maps.append(back)
+    for t, _ in plain:
         a = len(pos)
-        # a paragraph event before each text puts the transducer back outside
+        # a paragraph event before each text puts both machines back outside
         pos.append(0)
         cls.append(P)
         _events(t, pos, cls)
         owner.append((a, len(pos)))
     cl, ps = np.array(cls, np.int64), np.array(pos, np.int64)
-    keep = _matched(ps, cl)
-    emits = np.zeros(len(cl), bool)
-    emits[keep] = scan(cl[keep]) if keep.any() else False
+    emits = scan(resolved(cl))
     found = []
-    for t, back, (a, b) in zip(cleaned, maps, owner):
+    for (t, back), (a, b) in zip(plain, owner):
         ends = ps[a:b][emits[a:b]].tolist()
         ends.append(len(t))
         spans, at, n = [], 0, len(t)
@@ -424,10 +468,162 @@ def segment(texts: Sequence[str | None]) -> list[list[tuple[int, int]]]:
 _HIDDEN = frozenset(INVISIBLE)
 
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+# ---- documents in pieces --------------------------------------------------------------------------
+
+
+def borders(t: str, size: int) -> list[int]:
+    """Starts of the pieces of a text: about every `size` code points, always inside a word; the first line stays whole."""
+    out, at = [0], max(size, t.find("\n", len(t) - len(t.lstrip())) + 1)
+    while at < len(t):
+        if t[at - 1].isalnum() and t[at].isalnum():
+            out.append(at)
+            at += size
+        else:
+            at += 1
+    return out
+
+
+def _with_margin(t: str, low: int, high: int) -> tuple[int, int]:
+    """Start and end of what the rules of a piece may look at: MARGIN visible code points on either side."""
+    left, need = low, MARGIN
+    while left > 0 and need:
+        left -= 1
+        need -= t[left] not in _HIDDEN
+    right, need = high, MARGIN
+    while right < len(t) and need:
+        need -= t[right] not in _HIDDEN
+        right += 1
+    return left, right
+
+
+def piece_events(t: str, low: int, high: int, first: bool, last: bool) -> tuple[list[int], ...]:
+    """(classes, places, ends, starts) of the events of a piece [low, high) of a text with its margins.
+
+    `ends` is where a sentence ends that the event closes, `starts` where the next one begins, blanks left out. The
+    last piece closes with a paragraph event.
+    """
+    plain, back = _plain(t)
+    where = lambda i: i if back is None else back[i] if i < len(back) else len(t)
+    lo, hi = (low, high) if back is None else (bisect_left(back, low), bisect_left(back, high))
+    pos: list[int] = []
+    cls: list[int] = []
+    _events(plain, pos, cls, 0 if first else max(lo, 1), hi)
+    if last:
+        pos.append(len(plain))
+        cls.append(P)
+    ends, starts = [], []
+    for e in pos:
+        z = e
+        while z > 0 and plain[z - 1].isspace():
+            z -= 1
+        while e < len(plain) and plain[e].isspace():
+            e += 1
+        ends.append(where(z - 1) + 1 if z else 0)
+        starts.append(where(e))
+    return cls, [where(e) for e in pos], ends, starts
+
+
+def _in_pieces(docs: DataFrame, kind: str, size: int, with_text: bool) -> DataFrame | None:
+    """(id, sent_no, sent_start, sent_end[, sentence]) of documents (id, t), each in pieces that are rows of their own.
+
+    Only the state functions of the pieces, a few bytes each, come together by document.
+    """
+
+    def dealt(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for id_, t in zip(batch["id"].tolist(), batch["t"]):
+                at = borders(t, size)
+                for k, (low, high) in enumerate(zip(at, [*at[1:], len(t)])):
+                    left, right = _with_margin(t, low, high)
+                    yield pd.DataFrame({"id": [id_], "piece": [k], "base": [left], "low": [low], "high": [high], "last": [high == len(t)], "t": [t[left:right]]})
+
+    def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for id_, k, base, low, high, last, t in batch[["id", "piece", "base", "low", "high", "last", "t"]].itertuples(index=False):
+                cls, pos, ends, starts = piece_events(t, low - base, high - base, k == 0, last)
+                keep, adds = right_function(np.array(cls, np.int64))
+                lead = next((base + i for i, ch in enumerate(t) if not (ch.isspace() or ch in _HIDDEN)), high) if k == 0 else None
+                own = t[low - base : high - base] if with_text else None
+                rows.append((id_, k, low, keep, adds, lead, cls, [base + x for x in pos], [base + x for x in ends], [base + x for x in starts], own))
+            if rows:
+                out = pd.DataFrame(rows, columns=["id", "piece", "low", "keep", "adds", "lead", "cls", "pos", "ends", "starts", "own"])
+                yield out.astype({"lead": "Int64"})
+
+    pieces = docs.mapInPandas(dealt, f"id {kind}, piece bigint, base bigint, low bigint, high bigint, last boolean, t string").repartition("id", "piece")
+    schema = f"id {kind}, piece bigint, low bigint, keep boolean, adds int, lead bigint, cls array<int>, pos array<bigint>, ends array<bigint>, starts array<bigint>, own string"
+    events = cut(pieces.mapInPandas(read, schema))
+    if events.isEmpty():
+        return None
+
+    def from_right(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("piece", ascending=False)
+        closing, entered = 0, []
+        for keep, adds in zip(pdf["keep"], pdf["adds"]):
+            entered.append(closing)
+            closing = (closing if keep else 0) | int(adds)
+        return pd.DataFrame({"id": pdf["id"], "piece": pdf["piece"], "closing": entered})
+
+    closing = events.select("id", "piece", "keep", "adds").groupBy("id").applyInPandas(from_right, f"id {kind}, piece bigint, closing int")
+    entered = cut(events.join(closing, ["id", "piece"]))
+
+    def functions(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            f = [left_function(resolved(np.array(c, np.int64), k)).tolist() for c, k in zip(batch["cls"], batch["closing"])]
+            yield pd.DataFrame({"id": batch["id"], "piece": batch["piece"], "f": f})
+
+    def from_left(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("piece")
+        after = compose(np.array(pdf["f"].tolist(), np.uint8))[:, 0]
+        return pd.DataFrame({"id": pdf["id"], "piece": pdf["piece"], "state": np.append(0, after[:-1]).astype(np.int32)})
+
+    states = entered.select("id", "piece", "cls", "closing").mapInPandas(functions, f"id {kind}, piece bigint, f array<int>")
+    states = states.groupBy("id").applyInPandas(from_left, f"id {kind}, piece bigint, state int")
+
+    def bounds(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                emits = np.flatnonzero(scan(resolved(np.array(r.cls, np.int64), r.closing), r.state))
+                at, kept = -1, []
+                for i in emits.tolist():
+                    if r.pos[i] >= at:
+                        kept.append(i)
+                        at = r.pos[i]
+                rows.append((r.id, r.piece, r.low, r.lead, [r.ends[i] for i in kept], [r.starts[i] for i in kept], r.own))
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "piece", "low", "lead", "ends", "starts", "own"]).astype({"lead": "Int64"})
+
+    found = entered.join(states, ["id", "piece"]).mapInPandas(bounds, f"id {kind}, piece bigint, low bigint, lead bigint, ends array<bigint>, starts array<bigint>, own string")
+    found = cut(found)
+    # what a piece hands on: where the sentence begins that is open at its end, and how many it closed
+    before = Window.partitionBy("id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    hand = found.select("id", "piece", "ends", "starts", F.coalesce(F.last(F.try_element_at("starts", F.lit(-1)), True).over(before), F.first("lead", True).over(Window.partitionBy("id"))).alias("open"))
+    begins = F.concat(F.array("open"), F.slice("starts", 1, F.greatest(F.size("starts") - 1, F.lit(0))))
+    spans = F.filter(F.arrays_zip(begins.alias("b"), F.col("ends").alias("e")), lambda x: x["e"] > x["b"])
+    hand = hand.withColumn("spans", F.when(F.size("ends") > 0, spans).otherwise(F.array().cast("array<struct<b:bigint,e:bigint>>")))
+    hand = hand.withColumn("done", F.coalesce(F.sum(F.size("spans")).over(before), F.lit(0)))
+    rows = hand.select("id", F.col("done"), F.posexplode("spans").alias("k", "s"))
+    rows = rows.select("id", (F.col("done") + F.col("k")).cast("int").alias("sent_no"), F.col("s.b").alias("sent_start"), F.col("s.e").alias("sent_end"))
+    if not with_text:
+        return rows
+    # parts of sentences that pieces hold, those of a sentence over several pieces joined
+    last = F.coalesce(F.try_element_at("starts", F.lit(-1)), F.col("open"))
+    held = F.concat("spans", F.array(F.struct(last.alias("b"), (F.col("low") + F.length("own")).alias("e"))))
+    parts = hand.select("id", "piece", "done", "open", "starts", "spans").join(found.select("id", "piece", "low", "own"), ["id", "piece"]).select("id", "piece", "low", "own", "done", F.posexplode(held).alias("k", "s"))
+    text = F.substring("own", (F.greatest("s.b", "low") - F.col("low") + 1).cast("int"), F.greatest(F.col("s.e") - F.greatest("s.b", "low"), F.lit(0)).cast("int"))
+    parts = parts.select("id", (F.col("done") + F.col("k")).cast("int").alias("sent_no"), "piece", text.alias("part"))
+    joined = parts.groupBy("id", "sent_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "part"))), lambda x: x["part"]), "").alias("text"))
+    rows = rows.join(joined, ["id", "sent_no"])
+    return rows.select("id", "sent_no", "sent_start", "sent_end", F.substring("text", F.lit(1), (F.col("sent_end") - F.col("sent_start")).cast("int")).alias("sentence"))
+
+
+def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False, piece: int = PIECE) -> DataFrame:
     """(id, sent_no, sent_start, sent_end[, sentence]) for every text, in order; offsets are code points.
 
-    Null, empty and blank texts give no row; repeated rows give repeated rows; other columns are ignored.
+    Texts of more than `piece` code points are worked on in pieces by many tasks; the result is the same. Null, empty
+    and blank texts give no row; repeated rows of short texts give repeated rows, an identifier must name one long text
+    (its copies count once); other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, sent_no int, sent_start bigint, sent_end bigint" + ", sentence string" * with_text
@@ -449,7 +645,9 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_
                 yield pd.DataFrame(out)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
-    return rows.mapInPandas(run, schema)
+    short = rows.where(F.length("t") <= piece).mapInPandas(run, schema)
+    long = _in_pieces(rows.where(F.length("t") > piece).dropDuplicates(["id"]), kind, piece, with_text)
+    return short if long is None else short.unionByName(long)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
