@@ -1,8 +1,9 @@
 """Evaluation texts leaking into training text, found through a positional inverted index.
 
-Postings (term, document, position) of the training text are stored for the terms of the test items. Each
-window of the wanted length is looked up by the term of it that the corpus uses least; the postings around
-that hit are intersected after taking off their offset, and runs of consecutive positions are leaks.
+The corpus is counted for the terms of the test items, all of it. Each window of the wanted length is looked up by
+the term of it that the corpus uses least, and the postings (term, document, position) of these terms and of the
+second rarest are stored and intersected after taking off their offset. The lists of the other, common terms are
+stored for the documents that are left only, and intersected at the same offset; runs of consecutive positions are leaks.
 """
 
 from __future__ import annotations
@@ -93,9 +94,12 @@ def postings(docs: DataFrame, vocabulary: DataFrame, chars_too: bool) -> DataFra
     if chars_too:
         han = rows.where(F.col("text").rlike(r"\p{IsHan}"))
         streams = streams.unionByName(han.select("doc_id", F.posexplode(letters(F.col("text"))).alias("pos", "tok"), F.lit(True).alias("by_char")))
-    found = streams.select(_term().alias("term"), "doc_id", "pos")
-    small = vocabulary.count() <= BROADCAST_TERMS
-    return found.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
+    return _with(streams.select(_term().alias("term"), "doc_id", "pos"), vocabulary, "term", "left_semi")
+
+
+def _with(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join with a stored table, broadcast only if it is counted to be small."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_TERMS else small, on, how)
 
 
 def aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -103,9 +107,8 @@ def aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
     terms = cut(item_terms(items))
     vocabulary = cut(terms.select("term").distinct())
     chars_too = not terms.where("by_char").isEmpty()
-    index = cut(postings(docs, vocabulary, chars_too))
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
-    rated = terms.join(counts, "term", "left").select("item_id", "need", "ipos", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = postings(docs, vocabulary, chars_too).groupBy("term").agg(F.count("*").alias("n"))
+    rated = cut(terms.join(counts, "term", "left").select("item_id", "need", "ipos", "term", F.coalesce("n", F.lit(0)).alias("n")))
     # the two rarest terms of each window; a window with a term that the corpus lacks cannot occur in it
     picks = []
     for need in (MIN_WORDS, MIN_CHARS):
@@ -115,16 +118,17 @@ def aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
         one, two = F.col("m")[0], F.col("m")[1]
         picks.append(best.select("item_id", one["ipos"].alias("apos"), one["term"].alias("term"), two["ipos"].alias("bpos"), two["term"].alias("bterm")).distinct())
     anchors = cut(picks[0].unionByName(picks[1]))
-    few = anchors.count() <= BROADCAST_TERMS
-    hits = index.join(F.broadcast(anchors) if few else anchors, "term").select("item_id", "doc_id", (F.col("pos") - F.col("apos")).alias("off"), "apos", "bpos", F.col("bterm").alias("term"))
+    index = cut(postings(docs, cut(anchors.select("term").union(anchors.select("bterm")).distinct()), chars_too))
+    hits = _with(index, anchors, "term").select("item_id", "doc_id", (F.col("pos") - F.col("apos")).alias("off"), "apos", "bpos", F.col("bterm").alias("term"))
     # the list of the second rarest term, its offset taken off, leaves few of the hits
     hits = hits.withColumn("pos", F.col("off") + F.col("bpos")).join(index, ["doc_id", "term", "pos"])
-    hits = hits.groupBy("item_id", "doc_id", "off").agg(F.min("apos").alias("lo"), F.max("apos").alias("hi"))
+    hits = cut(hits.groupBy("item_id", "doc_id", "off").agg(F.min("apos").alias("lo"), F.max("apos").alias("hi")))
     # the postings that the windows around the hits would need, at their place in the document
     near = terms.select("item_id", "need", "ipos", "term")
     wanted = hits.join(near, "item_id").where("ipos > lo - need and ipos < hi + need")
     wanted = wanted.select("item_id", "doc_id", "need", "off", "ipos", "term", (F.col("ipos") + F.col("off")).alias("pos"))
-    return wanted.join(index, ["doc_id", "term", "pos"]).select("item_id", "doc_id", "need", "off", "ipos").distinct()
+    found_in = _with(docs.select("doc_id", "text"), cut(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    return wanted.join(postings(found_in, vocabulary, chars_too), ["doc_id", "term", "pos"]).select("item_id", "doc_id", "need", "off", "ipos").distinct()
 
 
 def runs(matches: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -29,14 +29,14 @@ GREEK = {
 }
 # Code points that show nothing, and hyphens that show as the ASCII one.
 INVISIBLE = tuple(
-    map(chr, (0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), 0xFEFF))
+    map(chr, (0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)))
 )
 HYPHENS = ("\u2010", "\u2011", "\ufe63")
 #: Every space separator of Unicode except the plain one.
 BLANKS = tuple(c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs")
 
-#: Passes of the automaton over one text; each pass can only join what the one before left side by side.
-PASSES = 6
+#: Rows of one string that a task takes when pairs are formed; the rows of a string that has more are dealt out.
+DEALT = 50_000
 
 
 class Classes:
@@ -76,14 +76,16 @@ def pairs() -> Iterator[tuple[str, str]]:
             yield c, "".join(chr(int(x, 16)) for x in rest.split())
 
 
-def rules(counts: dict[str, int]) -> dict[str, str]:
+def rules(counts: dict[str, int], more: Iterable[tuple[str, str]] = ()) -> dict[str, str]:
     """Pattern -> representative, for the code points of the corpus; ties go to the smaller string.
 
+    `more` has further pairs that look the same.
+
     A class that holds the empty string is deleted. Otherwise the most frequent member of a class is its
     representative, an accented letter counting whole and in parts. Classes are transitive: parts of a
     string that have other representatives put the rewritten string in the same class.
     """
-    classes, known = Classes(), list(pairs())
+    classes, known = Classes(), [*pairs(), *more]
     seen = set(counts)
     known = [(a, b) for a, b in known if a in seen or (len(b) > 1 and set(b) <= seen) or len(b) <= 1]
     for a, b in known:
@@ -149,10 +151,12 @@ def rewriter(found: dict[str, str]):
     def rewrite(text: str) -> str:
         if no_ascii and text.isascii() or touched.isdisjoint(text):
             return text
-        for _ in range(PASSES):
-            after = once(text)
-            if after == text:
-                break
+        before = set()
+        while (after := once(text)) != text:
+            # a pass can only join what the one before left side by side, so few are needed; pairs that chase each other never end
+            if after in before:
+                raise ValueError("the pairs rewrite each other in a circle")
+            before.add(text)
             text = after
         return text
 
@@ -180,13 +184,13 @@ def code_points(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {r["c"]: r["n"] for r in part.groupBy("c").agg(F.sum("n").alias("n")).collect()}
 
 
-def consistent(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def consistent(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = True, more: Iterable[tuple[str, str]] = ()) -> DataFrame:
     """(id, canonical, look, own): the consistent form (if asked for) and 128-bit keys of form and text.
 
     A null text stays null with null keys, an empty text stays empty; every row of the input gives one
     row, repeated ids included.
     """
-    found = rules(code_points(docs, text))
+    found = rules(code_points(docs, text), more)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -206,17 +210,52 @@ def consistent(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInPandas(run, schema)
 
 
-def same_look_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_a, doc_b), a before b, of texts that differ as strings but have one consistent form.
+def mixed_looks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", more: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """(look, own, id) of the rows whose look several different strings share, each once.
 
-    Classes of exact copies only are dropped by a grouped minimum and maximum before any pair is formed.
+    Classes of exact copies only are dropped by a grouped minimum and maximum.
     """
-    keys = cut(consistent(docs, id_col, text, with_text=False).where("id is not null and look is not null"))
+    keys = cut(consistent(docs, id_col, text, with_text=False, more=more).where("id is not null and look is not null"))
     mixed = keys.groupBy("look").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("look")
-    rows = cut(keys.join(mixed, "look", "left_semi").distinct())
-    a = rows.select("look", F.col("id").alias("doc_a"), F.col("own").alias("own_a"))
-    b = rows.select("look", F.col("id").alias("doc_b"), F.col("own").alias("own_b"))
-    return a.join(b, "look").where("doc_a < doc_b and own_a <> own_b").select("doc_a", "doc_b").distinct()
+    return cut(keys.join(mixed, "look", "left_semi").select("look", "own", "id").distinct())
+
+
+def variants(rows: DataFrame) -> DataFrame:
+    """(look, own, rep, n): the strings of each look with their smallest document and number of documents."""
+    return rows.groupBy("look", "own").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+
+
+def look_members(docs: DataFrame, id_col: str = "doc_id", text: str = "text", more: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """(look_id, string_id, id): membership; a look and a string are named by their smallest document."""
+    rows = mixed_looks(docs, id_col, text, more)
+    look = Window.partitionBy("look")
+    least = variants(rows).select("look", "own", F.min("rep").over(look).alias("look_id"), F.col("rep").alias("string_id"))
+    return rows.join(least, ["look", "own"]).select("look_id", "string_id", "id")
+
+
+def same_look_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", more: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """(doc_a, doc_b), a before b, of texts that differ as strings but have one consistent form.
+
+    Pairs are formed between strings first, one row a string, and then filled with their documents, so copies of one
+    string never meet each other. The documents of a string with more than DEALT are dealt over several keys. Null ids
+    and texts form no pair; repeated rows count once; other columns are ignored; an empty table gives no row.
+    """
+    rows = mixed_looks(docs, id_col, text, more)
+    every = cut(variants(rows).withColumn("deals", F.ceil(F.col("n") / DEALT)))
+    # at most rows / DEALT strings are dealt out
+    hot = F.broadcast(every.where("deals > 1").select("look", "own", "deals"))
+    rows = rows.join(hot, ["look", "own"], "left").withColumn("deal", F.pmod(F.xxhash64("id"), F.coalesce("deals", F.lit(1))))
+
+    def side(x: str) -> DataFrame:
+        return rows.select("look", F.col("own").alias(f"own_{x}"), F.col("deal").alias(f"deal_{x}"), F.col("id").alias(f"id_{x}"))
+
+    deals = lambda x: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"deals_{x}") - 1)).alias(f"deal_{x}")
+    a, b = (every.select("look", F.col("own").alias(f"own_{x}"), F.col("deals").alias(f"deals_{x}")) for x in "ab")
+    strings = a.join(b, "look").where("own_a < own_b")
+    half = strings.select("*", deals("a")).join(side("a"), ["look", "own_a", "deal_a"])
+    full = half.select("look", "own_b", "deals_b", "id_a").select("look", "own_b", "id_a", deals("b")).join(side("b"), ["look", "own_b", "deal_b"])
+    # documents that share an identifier are no pair
+    return full.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b")).distinct()
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,9 +269,8 @@ def p8_consistent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Per look that several different strings share: its smallest document, documents and strings."""
-    keys = consistent(table(spark, folder, "documents"), with_text=False).where("look is not null")
-    return keys.groupBy("look").agg(F.min("id").alias("first_doc"), F.count_distinct("id").alias("n_docs"), F.count_distinct("own").alias("n_strings")).where("n_strings > 1").drop("look")
+    """Every document of a look that several strings share, under the look's and its own string's smallest document."""
+    return look_members(table(spark, folder, "documents")).select("look_id", "string_id", F.col("id").alias("doc_id"))
 
 
 QUERIES = {"p8_found": p8_found, "p8_consistent": p8_consistent, "p8_members": p8_members}

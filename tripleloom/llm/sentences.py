@@ -523,7 +523,7 @@ def piece_events(t: str, low: int, high: int, first: bool, last: bool) -> tuple[
     return cls, [where(e) for e in pos], ends, starts
 
 
-def _in_pieces(docs: DataFrame, kind: str, size: int, with_text: bool) -> DataFrame | None:
+def _in_pieces(docs: DataFrame, kind: str, size: int, with_text: bool) -> DataFrame:
     """(id, sent_no, sent_start, sent_end[, sentence]) of documents (id, t), each in pieces that are rows of their own.
 
     Only the state functions of the pieces, a few bytes each, come together by document.
@@ -553,8 +553,6 @@ def _in_pieces(docs: DataFrame, kind: str, size: int, with_text: bool) -> DataFr
     pieces = docs.mapInPandas(dealt, f"id {kind}, piece bigint, base bigint, low bigint, high bigint, last boolean, t string").repartition("id", "piece")
     schema = f"id {kind}, piece bigint, low bigint, keep boolean, adds int, lead bigint, cls array<int>, pos array<bigint>, ends array<bigint>, starts array<bigint>, own string"
     events = cut(pieces.mapInPandas(read, schema))
-    if events.isEmpty():
-        return None
 
     def from_right(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("piece", ascending=False)
@@ -646,8 +644,10 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     short = rows.where(F.length("t") <= piece).mapInPandas(run, schema)
-    long = _in_pieces(rows.where(F.length("t") > piece).dropDuplicates(["id"]), kind, piece, with_text)
-    return short if long is None else short.unionByName(long)
+    long = rows.where(F.length("t") > piece)
+    if long.isEmpty():
+        return short
+    return short.unionByName(_in_pieces(long.dropDuplicates(["id"]), kind, piece, with_text))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
