@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, squeeze_ends, without_fence, without_thinking
+from .text import blank_to_null, let, squeeze_ends, without_fence, without_thinking
 
 # Names that the parts of a triple go by, in order of preference.
 ALIASES = {"subject": ("subject", "head", "source"), "relation": ("relation", "predicate", "relation_type"), "object": ("object", "tail", "target")}
@@ -91,14 +91,20 @@ def inner_relation(sentence: Column, subject: Column, entity: Column) -> Column:
 
     Without these ends the text before the last place of the entity counts. Fewer than two characters are null.
     """
-    s = F.regexp_replace(F.lower(squeeze_ends(sentence)), r"[.!?]+$", "")
-    a, b = F.lower(squeeze_ends(subject)), F.lower(squeeze_ends(entity))
-    s = F.when((a != "") & F.startswith(s, a), F.substring(s, F.length(a) + 1, F.length(s))).otherwise(s)
-    # characters before the last place of the entity
-    cut_at = F.length(s) - F.instr(F.reverse(s), F.reverse(b)) - F.length(b) + 1
-    r = F.when((b != "") & F.endswith(s, b), F.substring(s, F.lit(1), F.length(s) - F.length(b))).when((b != "") & F.contains(s, b), F.substring(s, F.lit(1), cut_at)).otherwise(s)
-    r = squeeze_ends(r)
-    return F.when(F.length(r) >= 2, r)
+    whole = F.regexp_replace(F.lower(squeeze_ends(sentence)), r"[.!?]+$", "")
+    ends = F.struct(F.lower(squeeze_ends(subject)).alias("a"), F.lower(squeeze_ends(entity)).alias("b"), whole.alias("s"))
+
+    def without_subject(t: Column) -> Column:
+        return F.when((t["a"] != "") & F.startswith(t["s"], t["a"]), F.substring(t["s"], F.length(t["a"]) + 1, F.length(t["s"]))).otherwise(t["s"])
+
+    def before_entity(t: Column) -> Column:
+        s, b = t["s"], t["b"]
+        # characters before the last place of the entity
+        cut_at = F.length(s) - F.instr(F.reverse(s), F.reverse(b)) - F.length(b) + 1
+        return F.when((b != "") & F.endswith(s, b), F.substring(s, F.lit(1), F.length(s) - F.length(b))).when((b != "") & F.contains(s, b), F.substring(s, F.lit(1), cut_at)).otherwise(s)
+
+    inner = let(ends, lambda t: let(F.struct(t["b"].alias("b"), without_subject(t).alias("s")), before_entity))
+    return let(squeeze_ends(inner), lambda r: F.when(F.length(r) >= 2, r))
 
 
 def strict_triples(text: Column) -> Column:

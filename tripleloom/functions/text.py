@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 WS = r"(?U)\s+"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once; written out, its code would be repeated at every use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs to one blank, none at the ends. Null stays null."""
     return F.trim(F.regexp_replace(text, WS, " "))
@@ -122,3 +127,33 @@ def name_class(name: Column, rules: list[tuple[str, str]], default: str) -> Colu
 def entity_label(n: Column, binary: bool = False) -> Column:
     """ambiguous, single or multi by the number of entities; in binary form none counts as multi."""
     return F.when(n == 1, "single").when(n >= 2, "multi").otherwise("multi" if binary else "ambiguous")
+
+
+# Plural endings, what they become, and the least length of a word beside the ending.
+PLURALS = (("ies", "y", 3), ("sses", "ss", 3), ("xes", "x", 3))
+
+
+def lemma(word: Column) -> Column:
+    """A lower-case word without its English plural ending; a stand-in for a lemmatiser."""
+    out = None
+    for end, new, least in PLURALS:
+        hit = F.endswith(word, F.lit(end)) & (F.length(word) >= len(end) + least)
+        stem = F.concat(F.substring(word, F.lit(1), F.length(word) - len(end)), F.lit(new))
+        out = F.when(hit, stem) if out is None else out.when(hit, stem)
+    s = F.endswith(word, F.lit("s")) & (F.length(word) > 3) & ~word.rlike("(?:ss|us|is)$")
+    return out.when(s, F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+
+
+def lemmas(text: Column, lemmatise=lemma) -> Column:
+    """Words of a text in lower case, each by its lemma. `lemmatise` is a column function, a dictionary lookup for instance."""
+    return F.array_join(F.transform(F.split(F.lower(squeeze(text)), " "), lemmatise), " ")
+
+
+# Function words and pronouns that name nothing.
+STOP = tuple("a an the and or but if of in on at to by for from with as is are was were be been it its he she they we you i this that these those which who whom whose what his her their our your my not no".split())
+
+
+def content_lemmas(text: Column, lemmatise=lemma) -> Column:
+    """Distinct lemmas of the words of a text that are neither numbers, signs, pronouns nor function words, in order."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: ~w.isin(*STOP) & ~w.rlike(r"^[\p{N}_]+$")), lemmatise))

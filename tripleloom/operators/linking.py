@@ -56,3 +56,24 @@ def checked_relations(triples: DataFrame, entities: DataFrame, name: str) -> Dat
     df = triples.withColumns({"_s": F.lower("subject"), "_o": F.lower("object")})
     df = df.join(names.withColumnRenamed("n", "_s"), ["doc_id", "_s"], "left_semi").join(names.withColumnRenamed("n", "_o"), ["doc_id", "_o"], "left_semi")
     return df.drop("_s", "_o")
+
+
+def overridden(entities: DataFrame, told: DataFrame) -> DataFrame:
+    """(doc_id, entity, description): the first part of the last description stored for a name, else `told` (doc_id, entity, told), else the name."""
+    names = entities.where("name is not null").select("doc_id", F.lower("name").alias("entity")).distinct()
+    own = entities.where("coalesce(description, '') <> ''").groupBy("doc_id", F.lower("name").alias("entity"))
+    own = own.agg(F.split(F.max(F.struct("ent_id", "description"))["description"], ";;;")[0].alias("own"))
+    both = names.join(told, ["doc_id", "entity"], "left").join(own, ["doc_id", "entity"], "left")
+    return both.select("doc_id", "entity", F.coalesce("own", "told", "entity").alias("description"))
+
+
+def context_vectors(names: DataFrame, evidence: DataFrame, embed, n: int = 3) -> DataFrame:
+    """(doc_id, entity, vector): the mean of the vectors of a name and of its first n evidences joined; a name without evidence has its own.
+
+    `evidence` comes from `first_evidence`; `embed` adds a column of vectors to a table, as in `embedded(df, text, out)`.
+    """
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "evidence"))), lambda x: x["evidence"]), " ")
+    told = evidence.where(F.col("k") <= n).groupBy("doc_id", "entity").agg(text.alias("_text"))
+    rows = embed(embed(names.select("doc_id", "entity").join(told, ["doc_id", "entity"], "left"), "entity", "_v"), "_text", "_c")
+    mean = F.when(F.col("_c").isNull(), F.col("_v")).otherwise(F.zip_with("_v", "_c", lambda a, b: (a + b) / 2))
+    return rows.select("doc_id", "entity", mean.alias("vector"))

@@ -35,6 +35,20 @@ def faithfulness_dataset(per_doc: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("micro", rate(F.col("n_supported"), F.col("n_evaluated")))
 
 
+def resolution_counters(history: DataFrame, keys: list[str]) -> DataFrame:
+    """Nine counters of a resolution history (keys..., status, method, n_after), and the ratios derived from them, 0 where empty."""
+    c = F.col
+    multi = c("method") == "multiple_entities"
+    out = history.groupBy(*keys).agg(
+        F.count("*").alias("n_in"), F.coalesce(F.sum("n_after"), F.lit(0)).alias("n_out"),
+        *(F.count_if(c("status") == s).alias(f"n_{s}") for s in ("clean", "repaired", "failed")),
+        F.count_if(c("method") == "single_entity").alias("n_single"), F.count_if(multi).alias("n_multi"),
+        F.coalesce(F.sum(F.when(multi, c("n_after"))), F.lit(0)).alias("n_multi_out"), F.count_if(multi).alias("n_multi_entries"),
+    )
+    shares = {f"{x}_percent": rate(100 * c(f"n_{x}"), c("n_in")) for x in ("clean", "repaired", "failed", "single", "multi")}
+    return out.withColumns({**shares, "yield_percent": rate(100 * (c("n_out") - c("n_in")), c("n_in")), "mean_split": rate(c("n_multi_out"), c("n_multi_entries"))})
+
+
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, median, both deviations, min and max of a value; one row alone has sample deviation 0."""
     c = F.col(value)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze
-from ..session import cut
+from ..functions.text import let, squeeze
 from .matching import matches, segments
 
 # Words dropped before a merged prefix, and marks stripped around it.
@@ -34,7 +33,7 @@ def merged_relation(relation: Column, prefix: Column) -> Column:
     p = F.regexp_replace(prefix, f"^[{STRIPPED}\\s]+|[{STRIPPED}\\s]+$", "")
     p = F.regexp_replace(p, r"^(?:" + "|".join(LEADING) + r")(?:\s+|$)", "")
     words = F.filter(F.split(F.concat_ws(" ", relation, p), r"\s+"), lambda w: w != "")
-    return F.array_join(F.when(F.size(words) > MANY, F.slice(words, 1, KEPT)).otherwise(words), " ")
+    return let(words, lambda w: F.array_join(F.when(F.size(w) > MANY, F.slice(w, 1, KEPT)).otherwise(w), " "))
 
 
 def resolved(triples: DataFrame, entities: DataFrame, key: str = "triple_id", group: str = "doc_id", parts: bool = False) -> DataFrame:
@@ -42,17 +41,14 @@ def resolved(triples: DataFrame, entities: DataFrame, key: str = "triple_id", gr
 
     No entity in the object: clean. One that is the whole object: kept as exact. One with text only before
     it: that text joins the relation and the entity becomes the object. Text after it too, the rule appends
-    both sides to the relation and marks the triple for a rewrite. Several entities: failed here, to be
+    both sides to the relation and marks the triple for a rewrite by a model. Several entities: failed here, to be
     split by a model. Entities come from the names of the same group. With `parts`, the entities of the object
-    and the texts around them come along, and the start of the evidence if there is one.
+    and the texts around them come along, the relation as stated, the object as compared, and the start of the evidence.
     """
     names = entities.select(group, normalized(F.col("name")).alias("name")).where("length(name) > 1").distinct()
     context = F.substring("evidence", 1, 500) if "evidence" in triples.columns else F.lit(None).cast("string")
     texts = triples.select(key, group, "subject", "relation", "object", context.alias("_context"), normalized(F.col("object")).alias("_norm"))
     found = matches(texts, names, [key], group, "_norm", "name")
-    if parts:
-        # used more than once, and few rows hold an entity
-        found = cut(found)
     df = texts.join(found, key, "left")
     one, n = F.col("found")[0], F.coalesce(F.size("found"), F.lit(0))
     n = F.when(F.col("found").isNull(), 0).otherwise(n)
@@ -63,10 +59,11 @@ def resolved(triples: DataFrame, entities: DataFrame, key: str = "triple_id", gr
     )
     df = df.withColumns({"method": method, "_before": before, "_after": after, "_n": n})
     sides = F.trim(F.concat_ws(" ", "_before", "_after"))
-    relation = F.when(F.col("method") == "prefix", merged_relation(F.col("relation"), F.col("_before"))).when(F.col("method") == "rewrite", merged_relation(F.col("relation"), sides)).otherwise(F.col("relation"))
-    obj = F.when(F.col("method").isin("prefix", "rewrite"), one["term"]).otherwise(F.col("object"))
+    moved = F.col("method").isin("prefix", "rewrite")
+    relation = F.when(moved, merged_relation(F.col("relation"), sides)).otherwise(F.col("relation"))
+    obj = F.when(moved, one["term"]).otherwise(F.col("object"))
     status = F.when(n == 0, "clean").when(n == 1, "repaired").otherwise("failed")
-    return df.select(key, group, "subject", relation.alias("relation"), obj.alias("object"), status.alias("status"), "method", F.col("_n").alias("n_entities"), *([segments(F.col("_norm"), F.col("found")).alias("parts"), F.col("_context").alias("context")] if parts else []))
+    return df.select(key, group, "subject", relation.alias("relation"), obj.alias("object"), status.alias("status"), "method", F.col("_n").alias("n_entities"), *([segments(F.col("_norm"), F.col("found")).alias("parts"), F.col("_context").alias("context"), F.col("relation").alias("stated"), F.col("_norm").alias("whole")] if parts else []))
 
 
 def valid_split(entities: Column, objects: Column) -> Column:

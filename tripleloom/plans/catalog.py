@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import flow_queries, graph_queries, score_queries, text_queries
+from . import flow_queries, graph_queries, model_queries, score_queries, text_queries
 
-MODULES = (text_queries, score_queries, graph_queries, flow_queries)
+MODULES = (text_queries, score_queries, graph_queries, flow_queries, model_queries)
 
 
 def queries() -> dict:

@@ -149,14 +149,16 @@ def statement_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("resolution_history")
 def resolution_history(spark: SparkSession, d: str) -> DataFrame:
-    """Before and after of every triple that the object resolution touched, with status and method."""
+    """Before and after of every triple in the object resolution, with status and method; what was clean or failed stays as it was."""
     from .text_queries import QUERIES as TEXT
 
     before = triples(spark, d).select("triple_id", F.struct("subject", "relation", "object").alias("before"))
-    after = TEXT["object_resolution"](spark, d).where("status <> 'clean'")
-    after = after.groupBy("triple_id", "status", "method").agg(F.sort_array(F.collect_list(F.struct("part", "subject", "relation", "object"))).alias("after"))
+    after = TEXT["object_resolution"](spark, d)
+    method = F.when(F.col("method") == "multi", "multiple_entities").when(F.col("method") != "none", "single_entity")
+    after = after.groupBy("triple_id", "status", method.alias("method")).agg(F.sort_array(F.collect_list(F.struct("part", "subject", "relation", "object"))).alias("after"))
     after = after.withColumn("after", F.transform("after", lambda t: F.struct(t["subject"].alias("subject"), t["relation"].alias("relation"), t["object"].alias("object"))))
-    return after.join(before, "triple_id").select("triple_id", "status", "method", "before", F.when(F.col("status") == "repaired", F.col("after")).otherwise(F.array().cast("array<struct<subject:string,relation:string,object:string>>")).alias("after"))
+    kept = F.when(F.col("status") == "repaired", F.col("after")).otherwise(F.array("before"))
+    return after.join(before, "triple_id").select("triple_id", "status", "method", "before", kept.alias("after"))
 
 
 @query(

@@ -78,9 +78,12 @@ def weak_components(spark: SparkSession, d: str) -> DataFrame:
     return roots.groupBy(parts[0].alias("doc_id"), parts[1].alias("root")).agg(F.count("*").alias("n_nodes"))
 
 
-@query("store_stats", f"SELECT count(*) AS n_edges, count(DISTINCT rel) AS n_types FROM {_EDGES}")
+@query("store_stats", f"SELECT count(*) AS n_edges, count(DISTINCT rel) AS n_types, (SELECT count(*) FROM (SELECT src FROM {_EDGES} UNION SELECT dst FROM {_EDGES})) AS n_nodes FROM {_EDGES}")
 def store_stats(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).agg(F.count("*").alias("n_edges"), F.count_distinct("rel").alias("n_types"))
+    e = edges(spark, d)
+    ends = e.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.count_distinct("v").alias("n_nodes"), F.lit(1).alias("one"))
+    both = e.agg(F.count("*").alias("n_edges"), F.count_distinct("rel").alias("n_types"), F.lit(1).alias("one")).join(ends, "one")
+    return both.drop("one")
 
 
 @query("graph_view_sql", f"SELECT src, count(*) AS n FROM {_EDGES} WHERE rel = 'part of' GROUP BY 1")
@@ -240,10 +243,9 @@ def semantic_except(spark: SparkSession, d: str) -> DataFrame:
     return L.new_triples(t.where("origin = 'semantic'"), t.where("origin = 'extracted'"))
 
 
-@query("checked_relations", f"SELECT triple_id FROM {SQL_TRIPLES} t WHERE EXISTS (SELECT 1 FROM {SQL_TRIPLES} a WHERE a.doc_id = t.doc_id AND lower(a.subject) = lower(t.subject)) AND EXISTS (SELECT 1 FROM {SQL_TRIPLES} a WHERE a.doc_id = t.doc_id AND lower(a.subject) = lower(t.object))")
+@query("checked_relations", f"SELECT triple_id FROM {SQL_TRIPLES} t WHERE EXISTS (SELECT 1 FROM raw_entities a WHERE a.doc_id = t.doc_id AND lower(a.name) = lower(t.subject)) AND EXISTS (SELECT 1 FROM raw_entities a WHERE a.doc_id = t.doc_id AND lower(a.name) = lower(t.object))")
 def checked_relations(spark: SparkSession, d: str) -> DataFrame:
-    t = triples(spark, d)
-    return L.checked_relations(t, t, "subject").select("triple_id")
+    return L.checked_relations(triples(spark, d), entities(spark, d), "name").select("triple_id")
 
 
 @query("batches_of_ten", f"SELECT doc_id, batch, count(*) AS n FROM (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ent_id) - 1) // 10 AS batch FROM {SQL_ENTITIES}) GROUP BY 1, 2 HAVING count(*) >= 2")

@@ -10,6 +10,7 @@ from ..functions.text import clean_entity, clean_relation, squeeze
 from ..operators.resolve import resolved, valid_relation, valid_split
 from ..operators.segment import sentence_chunks
 from ..session import cut
+from .asking import rewritten
 from .backends import RuleBackend, complete
 
 
@@ -45,11 +46,11 @@ def verified(triples: DataFrame) -> DataFrame:
 def repaired(triples: DataFrame, entities: DataFrame, backend=RuleBackend) -> DataFrame:
     """(triple_id, doc_id, part, subject, relation, object, status, method, n_entities): the resolution of objects, those of several entities split.
 
-    The model gets such a triple with its entities, the texts around them and the start of the evidence if there is one.
+    Objects with text after their one entity have their relation rewritten by the model. Of several entities it gets the triple with its entities, the texts around them and the start of the evidence if there is one.
     A split without a blank part whose objects meet every entity replaces the triple by its parts, numbered from 0; any
     other answer leaves the triple failed as it was.
     """
-    done = resolved(triples, entities, parts=True)
+    done = rewritten(cut(resolved(triples, entities, parts=True)), backend)
     asked = done.where("method = 'multi'")
     body = F.to_json(F.struct("context", "subject", "relation", "object", F.col("parts").alias("entities")))
     asked = cut(complete(asked.select("triple_id", "parts", F.concat(F.lit(SPLIT + "\n\n"), body).alias("prompt")), "prompt", "answer", backend))

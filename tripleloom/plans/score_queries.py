@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import text as T
 from ..operators import metrics as M
 from ..sources.tables import table
-from .base import SQL_CANDIDATES, SQL_ENTITIES, SQL_OUTCOMES, SQL_RESULTS, SQL_TRIPLES, candidates, entities, outcomes, results, rnd, sq, triples, words
-from .text_queries import _VERDICT, _ENDS
+from .base import SQL_CANDIDATES, SQL_ENTITIES, SQL_EVERY_TRIPLE, SQL_OUTCOMES, SQL_RESULTS, SQL_TRIPLES, candidates, entities, every_triple, outcomes, results, rnd, sq, triples, words
+from .text_queries import _ENDS, _VERDICT, STATEMENT
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -32,44 +33,72 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_VERDICTS = f"(SELECT string_split(custom_id, '|')[2] AS doc_id, judge_model, outcome_id, {_VERDICT} AS verdict FROM (SELECT *, translate(upper({_ENDS.format('verdict')}), '- ', '__') AS v FROM {SQL_OUTCOMES}))"
-_PER_DOC = f"""(SELECT doc_id, judge_model, count(*) AS n_total, count(*) FILTER (WHERE verdict = 'MALFORMED') AS n_malformed, count(*) FILTER (WHERE verdict = 'JUDGE_ERROR') AS n_judge_error,
-count(*) FILTER (WHERE verdict = 'SUPPORTED') AS n_supported, count(*) FILTER (WHERE verdict NOT IN ('MALFORMED', 'JUDGE_ERROR')) AS n_evaluated FROM {SQL_VERDICTS} GROUP BY 1, 2)"""
+_COUNTS = """count(*) AS n_total, count(*) FILTER (WHERE verdict = 'MALFORMED') AS n_malformed, count(*) FILTER (WHERE verdict = 'JUDGE_ERROR') AS n_judge_error,
+count(*) FILTER (WHERE verdict = 'SUPPORTED') AS n_supported, count(*) FILTER (WHERE verdict NOT IN ('MALFORMED', 'JUDGE_ERROR')) AS n_evaluated"""
+_PER_DOC = f"(SELECT doc_id, judge_model, {_COUNTS} FROM {SQL_VERDICTS} GROUP BY 1, 2)"
 _RATE = "CASE WHEN n_evaluated > 0 THEN n_supported::DOUBLE / n_evaluated ELSE 0 END"
 
 
-@query("faithfulness_per_doc", f"SELECT *, round({_RATE}, 6) AS rate FROM {_PER_DOC}")
+def audit(spark: SparkSession, d: str) -> DataFrame:
+    """Every triple with its statement and verdict, by left joins on the request ids of its document and place.
+
+    A triple with a missing or blank part is MALFORMED and has no statement; the statement is the last stored one, else
+    the template; the last stored judgement counts, and without one the verdict is JUDGE_ERROR.
+    """
+    s, r, o = (F.col(c) for c in ("subject", "relation", "object"))
+    bad = T.malformed(s, r, o)
+    place = lambda op: F.concat_ws("|", F.lit(op), "doc_id", F.col("triple_ord").cast("string"))
+    told = table(spark, d, "batch_results").where("custom_id like 'statement|%' and success and content is not null")
+    told = told.groupBy(F.col("custom_id").alias("s_id")).agg(F.max(F.struct("finished_at", "result_id", "content"))["content"].alias("told"))
+    said = table(spark, d, "judge_outcomes").groupBy(F.col("custom_id").alias("j_id")).agg(F.max(F.struct("judged_at", "outcome_id", "verdict", "judge_model")).alias("j"))
+    rows = every_triple(spark, d).select("triple_id", "doc_id", "pipeline", *A.ALIASES, place("statement").alias("s_id"), place("judge").alias("j_id"))
+    rows = rows.join(told, "s_id", "left").join(said, "j_id", "left")
+    statement = F.when(~bad, F.coalesce(T.parsed_statement(F.col("told")), T.templated(s, r, o)))
+    return rows.select("triple_id", "doc_id", "pipeline", statement.alias("statement"), F.when(bad, "MALFORMED").otherwise(A.verdict(F.col("j.verdict"))).alias("verdict"), "j.judge_model")
+
+
+_TOLD = "SELECT custom_id, arg_max(content, (finished_at, result_id)) AS told FROM batch_results WHERE custom_id LIKE 'statement|%' AND success AND content IS NOT NULL GROUP BY 1"
+_SAID = "SELECT custom_id, last(verdict ORDER BY judged_at, outcome_id) AS verdict, last(judge_model ORDER BY judged_at, outcome_id) AS judge_model FROM judge_outcomes GROUP BY 1"
+_BAD = " OR ".join(f"coalesce({sq(x)}, '') = ''" for x in A.ALIASES)
+SQL_AUDIT = f"""(SELECT triple_id, doc_id, pipeline, CASE WHEN NOT bad THEN coalesce({STATEMENT.format('told')}, {' || '.join([sq('subject'), "' '", sq('relation'), "' '", sq('object'), "'.'"])}) END AS statement,
+CASE WHEN bad THEN 'MALFORMED' ELSE {_VERDICT} END AS verdict, judge_model FROM (SELECT t.*, {_BAD} AS bad, told, translate(upper({_ENDS.format('j.verdict')}), '- ', '__') AS v, judge_model FROM {SQL_EVERY_TRIPLE} t
+LEFT JOIN ({_TOLD}) s ON s.custom_id = 'statement|' || doc_id || '|' || triple_ord LEFT JOIN ({_SAID}) j ON j.custom_id = 'judge|' || doc_id || '|' || triple_ord))"""
+_AUDIT_DOCS = f"(SELECT doc_id, pipeline, {_COUNTS} FROM {SQL_AUDIT} GROUP BY 1, 2)"
+
+
+@query("audit_chain", f"SELECT * FROM {SQL_AUDIT}")
+def audit_chain(spark: SparkSession, d: str) -> DataFrame:
+    return audit(spark, d)
+
+
+@query("faithfulness_per_doc", f"SELECT *, round({_RATE}, 6) AS rate FROM {_AUDIT_DOCS}")
 def faithfulness_per_doc(spark: SparkSession, d: str) -> DataFrame:
+    return M.faithfulness_per_doc(audit(spark, d), ["doc_id", "pipeline"]).withColumn("rate", rnd("rate"))
+
+
+@query("judge_rates", f"SELECT *, round({_RATE}, 6) AS rate FROM {_PER_DOC}")
+def judge_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per document and judge over all stored judgements."""
     return M.faithfulness_per_doc(verdicts(spark, d), ["doc_id", "judge_model"]).withColumn("rate", rnd("rate"))
 
 
 @query(
     "faithfulness_dataset",
-    f"""SELECT judge_model, count(*) AS n_docs, sum(n_total)::BIGINT AS n_total, sum(n_evaluated)::BIGINT AS n_evaluated, sum(n_supported)::BIGINT AS n_supported, round(avg(rate) FILTER (WHERE n_evaluated > 0), 6) AS macro,
-round(coalesce(stddev_pop(rate) FILTER (WHERE n_evaluated > 0), 0), 6) AS macro_std, round(sum(n_supported) / sum(n_evaluated), 6) AS micro FROM (SELECT *, {_RATE} AS rate FROM {_PER_DOC}) GROUP BY 1""",
+    f"""SELECT pipeline, count(*) AS n_docs, sum(n_total)::BIGINT AS n_total, sum(n_evaluated)::BIGINT AS n_evaluated, sum(n_supported)::BIGINT AS n_supported, round(avg(rate) FILTER (WHERE n_evaluated > 0), 6) AS macro,
+round(coalesce(stddev_pop(rate) FILTER (WHERE n_evaluated > 0), 0), 6) AS macro_std, round(sum(n_supported) / sum(n_evaluated), 6) AS micro FROM (SELECT *, {_RATE} AS rate FROM {_AUDIT_DOCS}) GROUP BY 1""",
 )
 def faithfulness_dataset(spark: SparkSession, d: str) -> DataFrame:
-    df = M.faithfulness_dataset(M.faithfulness_per_doc(verdicts(spark, d), ["doc_id", "judge_model"]), ["judge_model"])
+    df = M.faithfulness_dataset(M.faithfulness_per_doc(audit(spark, d), ["doc_id", "pipeline"]), ["pipeline"])
     return df.withColumns({c: rnd(c) for c in ("macro", "macro_std", "micro")})
 
 
-@query("audit_chain", f"""SELECT t.triple_id, lower(trim(subject || ';' || relation || ';' || object)) AS edge, count(s.cand_id) AS n_statements, coalesce(max(v.verdict), 'JUDGE_ERROR') AS verdict
-FROM {SQL_TRIPLES} t LEFT JOIN (SELECT doc_id, min(cand_id) AS cand_id FROM {SQL_CANDIDATES} GROUP BY 1) s USING (doc_id) LEFT JOIN (SELECT doc_id, max(verdict) AS verdict FROM {SQL_VERDICTS} GROUP BY 1) v USING (doc_id) GROUP BY 1, 2""")
-def audit_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Triples, statements and verdicts by left joins on tables of one row a document; a missing outcome is an error."""
-    s = candidates(spark, d).groupBy("doc_id").agg(F.min("cand_id").alias("cand_id"))
-    v = verdicts(spark, d).groupBy("doc_id").agg(F.max("verdict").alias("verdict"))
-    edge = F.lower(F.trim(F.concat_ws(";", "subject", "relation", "object")))
-    df = triples(spark, d).select("triple_id", "doc_id", edge.alias("edge")).join(s, "doc_id", "left").join(v, "doc_id", "left")
-    return df.select("triple_id", "edge", F.when(F.col("cand_id").isNotNull(), 1).otherwise(0).cast("bigint").alias("n_statements"), F.coalesce("verdict", F.lit("JUDGE_ERROR")).alias("verdict"))
-
-
-@query("request_results", f"SELECT split, count(*) AS n FROM (SELECT custom_id, CASE WHEN bool_or(success AND content IS NOT NULL) THEN 'answered' ELSE 'retry' END AS split FROM {SQL_RESULTS} GROUP BY 1) GROUP BY 1")
+@query("request_results", "SELECT custom_id, CASE WHEN r.custom_id IS NULL THEN 'missing' WHEN ok THEN 'answered' ELSE 'failed' END AS state FROM (SELECT 'summary|doc_' || doc_id || '|' || n AS custom_id FROM documents, (SELECT unnest(range(3)) AS n)) q LEFT JOIN (SELECT custom_id, bool_or(success AND content IS NOT NULL) AS ok FROM batch_results GROUP BY 1) r USING (custom_id)")
 def request_results(spark: SparkSession, d: str) -> DataFrame:
-    ok = F.bool_or(F.col("success") & F.col("content").isNotNull())
-    return results(spark, d).groupBy("custom_id").agg(F.when(ok, "answered").otherwise("retry").alias("split")).groupBy("split").agg(F.count("*").alias("n"))
-
-
-
+    """Requests for three summaries of each document against their answers; failed and missing ones are to be asked again."""
+    asked = table(spark, d, "documents").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda n: F.concat_ws("|", F.lit("summary"), F.concat(F.lit("doc_"), "doc_id"), n.cast("string")))).alias("custom_id"))
+    ok = table(spark, d, "batch_results").groupBy("custom_id").agg(F.bool_or(F.col("success") & F.col("content").isNotNull()).alias("ok"), F.lit(True).alias("there"))
+    state = F.when(F.col("there").isNull(), "missing").when(F.col("ok"), "answered").otherwise("failed")
+    return asked.join(ok, "custom_id", "left").select("custom_id", state.alias("state"))
 
 
 @query("recall_accuracy", f"SELECT pipeline, count(*) AS n_docs, round(100 * avg(p), 6) AS macro, round(100.0 * sum(hits) / sum(n), 6) AS micro FROM (SELECT t.doc_id, t.pipeline, count(*) FILTER (WHERE v.verdict = 'SUPPORTED') AS hits, count(*) AS n, hits / n AS p FROM (SELECT DISTINCT doc_id, pipeline FROM {SQL_TRIPLES}) t JOIN {SQL_VERDICTS} v USING (doc_id) GROUP BY 1, 2) GROUP BY 1")
@@ -102,12 +131,11 @@ def resolution_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("resolution_counts")
 def resolution_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Per pipeline: clean, repaired and failed triples of the object resolution, and their shares."""
-    from .text_queries import QUERIES as TEXT
+    """Per pipeline: the nine counters of the object resolution, and their ratios."""
+    from .flow_queries import QUERIES as FLOW
 
-    done = TEXT["object_resolution"](spark, d).where("part = 0").join(triples(spark, d).select("triple_id", "pipeline"), "triple_id")
-    out = done.groupBy("pipeline").agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(s) for s in ("clean", "repaired", "failed")))
-    return out.select("*", *(M.rate(100 * F.col(s), F.col("n")).alias(f"{s}_percent") for s in ("clean", "repaired", "failed")))
+    done = FLOW["resolution_history"](spark, d).select("triple_id", "status", "method", F.size("after").alias("n_after"))
+    return M.resolution_counters(done.join(triples(spark, d).select("triple_id", "pipeline"), "triple_id"), ["pipeline"])
 
 
 @query("verification_counts", f"""SELECT pipeline, count(*) AS n, count(*) FILTER (WHERE status = 'valid') AS valid, count(*) FILTER (WHERE status = 'fixed') AS fixed, count(*) FILTER (WHERE status = 'discarded') AS discarded FROM (

@@ -168,11 +168,11 @@ def without_thinking(spark: SparkSession, d: str) -> DataFrame:
     return results(spark, d).where("content is not null").select("result_id", T.without_thinking(F.col("content")).alias("body"))
 
 
-@query(
-    "parsed_statements",
-    f"""SELECT result_id, nullif({_ENDS.format("regexp_replace(" + _ENDS.format("string_split(regexp_replace(" + _FENCE.format("content") + ", '(?i)^statement:\\s*', ''), chr(10))[1]") + ", '^" + '"|"' + "$', '', 'g')")}, '') AS statement
-FROM {SQL_RESULTS} WHERE custom_id LIKE 'statement|%' AND content IS NOT NULL""",
-)
+#: SQL for the first line of an answer without fence, label and outer quotes; {} stands for the answer.
+STATEMENT = f"""nullif({_ENDS.format("regexp_replace(" + _ENDS.format("string_split(regexp_replace(" + _FENCE.format("{0}") + ", '(?i)^statement:\\s*', ''), chr(10))[1]") + ", '^" + '"|"' + "$', '', 'g')")}, '')"""
+
+
+@query("parsed_statements", f"SELECT result_id, {STATEMENT.format('content')} AS statement FROM {SQL_RESULTS} WHERE custom_id LIKE 'statement|%' AND content IS NOT NULL")
 def parsed_statements(spark: SparkSession, d: str) -> DataFrame:
     return results(spark, d).where("custom_id like 'statement|%' and content is not null").select("result_id", T.parsed_statement(F.col("content")).alias("statement"))
 
@@ -293,14 +293,22 @@ def span_containment(spark: SparkSession, d: str) -> DataFrame:
     return both.select("cand_id", F.when(F.coalesce(span, F.lit("")) == "", False).otherwise(F.contains(F.lower(T.squeeze(F.col("text"))), span)).alias("contained"))
 
 
+_SAID_VERDICT = f"SELECT custom_id, nullif(translate(upper({_ENDS.format('last(verdict ORDER BY judged_at, outcome_id)')}), '- ', '__'), '') AS v FROM judge_outcomes GROUP BY 1"
+
+
 @query(
     "fact_filter_reasons",
-    f"SELECT generator_model, reason, count(*) AS n FROM (SELECT generator_model, CASE WHEN error IS NOT NULL OR fact IS NULL THEN 'parse_error' WHEN coalesce(span_mismatch, true) THEN 'span_not_in_text' ELSE 'kept' END AS reason FROM {SQL_CANDIDATES}) GROUP BY 1, 2",
+    f"""SELECT cand_id, CASE WHEN error IS NOT NULL OR v IS NULL THEN 'parse_error' WHEN coalesce(span_mismatch, false) THEN 'span_not_in_text' WHEN v = 'CONTRADICTED' THEN 'contradicted' WHEN v = 'NOT_STATED' THEN 'not_stated'
+WHEN v <> 'SUPPORTED' THEN 'unknown_verdict' END AS drop_reason FROM {SQL_CANDIDATES} LEFT JOIN ({_SAID_VERDICT}) j ON j.custom_id = 'judge|' || doc_id || '|' || fact_ord""",
 )
 def fact_filter_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """The first reason that applies counts."""
-    reason = F.when(F.col("error").isNotNull() | F.col("fact").isNull(), "parse_error").when(F.coalesce("span_mismatch", F.lit(True)), "span_not_in_text").otherwise("kept")
-    return candidates(spark, d).select("generator_model", reason.alias("reason")).groupBy("generator_model", "reason").agg(F.count("*").alias("n"))
+    """Facts with the last verdict on their place, and the first reason to drop them."""
+    from .asking import drop_reason
+
+    said = table(spark, d, "judge_outcomes").groupBy("custom_id").agg(F.max(F.struct("judged_at", "outcome_id", "verdict"))["verdict"].alias("v"))
+    v = T.blank_to_null(F.translate(F.upper(T.squeeze_ends(F.col("v"))), "- ", "__"))
+    rows = candidates(spark, d).withColumn("custom_id", F.concat_ws("|", F.lit("judge"), "doc_id", F.col("fact_ord").cast("string"))).join(said, "custom_id", "left")
+    return rows.select("cand_id", drop_reason(v, F.col("span_mismatch"), F.col("error")).alias("drop_reason"))
 
 
 @query("candidate_cap", f"SELECT cand_id, doc_id FROM {SQL_CANDIDATES} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY fact_ord, cand_id) <= 3")

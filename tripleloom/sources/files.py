@@ -118,19 +118,33 @@ def write_by_doc(df: DataFrame, path: str) -> None:
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Replaces the rows of a Parquet folder that share a key with the new ones, by way of a staging folder."""
-    old = spark.read.parquet(path)
-    merged = old.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
-    stage = f"{path.rstrip('/')}__stage"
-    merged.write.mode("overwrite").parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").parquet(path)
-
+    """Replaces the rows of a Parquet folder that share a key with the new ones; the folder as it was stays beside it as a backup.
 
-def write_requests(df: DataFrame, path: str, most: int = 50_000) -> None:
-    """Request lines as JSON; raises on none, repeated or null ids, or more than a provider takes."""
-    n, ids, named = df.agg(F.count("*"), F.count_distinct("custom_id"), F.count("custom_id")).first()
-    if n == 0 or ids != n or named != n or n > most:
-        raise ValueError(f"{n} requests with {ids} different ids; 1 to {most} unique ones are allowed")
+    The new rows are written whole before the folders change names, so a crash leaves either state complete.
+    """
+    base = path.rstrip("/")
+    stage, backup = f"{base}__stage", f"{base}.bak"
+    old = spark.read.parquet(path)
+    old.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows).write.mode("overwrite").parquet(stage)
+    files = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files.delete(at(backup), True)
+    files.rename(at(base), at(backup))
+    files.rename(at(stage), at(base))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, on any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
+def write_requests(df: DataFrame, path: str, most: int = 50_000, most_bytes: int = 200 * 1024 * 1024) -> None:
+    """Request lines as JSON; raises on none, repeated, null or blank ids, or more rows or bytes than a provider takes."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns))) + 1
+    n, ids, named, total = df.agg(F.count("*"), F.count_distinct("custom_id"), F.count_if(F.trim("custom_id") != ""), F.sum(size)).first()
+    if n == 0 or ids != n or named != n or n > most or total > most_bytes:
+        raise ValueError(f"{n} requests with {ids} different ids in {total} bytes; 1 to {most} unique ones in {most_bytes} bytes are allowed")
     df.write.mode("overwrite").json(path)
 
 
@@ -138,12 +152,8 @@ def write_graph(edges: DataFrame, path: str, replace: bool = False) -> None:
     """Adds (src, rel, dst, evidence) to a graph folder: vertices once by name, every edge as a row of its own."""
     spark = edges.sparkSession
     names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct()
-    if not replace:
-        try:
-            names = names.join(spark.read.parquet(f"{path}/vertices"), "name", "left_anti")
-        except Exception as e:  # the graph does not exist yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    if not replace and exists(spark, f"{path}/vertices"):
+        names = names.join(spark.read.parquet(f"{path}/vertices"), "name", "left_anti")
     mode = "overwrite" if replace else "append"
     names.write.mode(mode).parquet(f"{path}/vertices")
     edges.write.mode(mode).parquet(f"{path}/edges")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import exists
+
 
 def run_new(spark: SparkSession, source: str, schema: str, out: str, state: str, key: str, work: Callable[[DataFrame], DataFrame]) -> None:
     """Processes all files of `source` that no earlier run has seen, and ends.
@@ -16,11 +18,8 @@ def run_new(spark: SparkSession, source: str, schema: str, out: str, state: str,
 
     def batch(rows: DataFrame, _: int) -> None:
         rows = rows.dropDuplicates([key])
-        try:
+        if exists(spark, out):
             rows = rows.join(spark.read.parquet(out).select(key), key, "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         work(rows).write.mode("append").parquet(out)
 
     stream = spark.readStream.schema(schema).parquet(source)
