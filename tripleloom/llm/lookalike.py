@@ -117,8 +117,15 @@ def rules(counts: dict[str, int], more: Iterable[tuple[str, str]] = ()) -> dict[
     return found
 
 
-def _any_of(chars: set[str]) -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, sorted(chars))) + "]")
+def char_class(chars: Iterable[str]) -> str:
+    """A set of characters in a pattern, neighbours as ranges: a long list beyond the basic plane would be searched one by one."""
+    points, out = sorted(map(ord, chars)), []
+    for n in points:
+        if out and n == out[-1][1] + 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return "[" + "".join(re.escape(chr(a)) + (f"-{re.escape(chr(z))}" if z > a else "") for a, z in out) + "]"
 
 
 def rewriter(found: dict[str, str]):
@@ -136,7 +143,7 @@ def rewriter(found: dict[str, str]):
     seconds = {p[1] for p in found if len(p) > 1}
     touched = frozenset(seconds | {p for p in found if len(p) == 1})
     no_ascii = not any(c.isascii() for c in touched)
-    multi = _any_of(seconds) if seconds else None
+    multi = re.compile(char_class(seconds)) if seconds else None
 
     def once(text: str) -> str:
         if multi is None or not multi.search(text):

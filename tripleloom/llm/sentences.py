@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.tables import table
-from .lookalike import CYRILLIC, GREEK, INVISIBLE
+from .lookalike import CYRILLIC, GREEK, INVISIBLE, char_class
 
 # Abbreviations after which a sentence goes on (lower case, without the last point).
 GOES_ON = {
@@ -63,7 +63,7 @@ MARGIN = 64
 
 _SAME = {ord(k): v for t in (CYRILLIC, GREEK) for k, v in t.items()}
 _ASCII = {0xFF01 + i: chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalnum() or chr(0x21 + i) in '."\'('} | {0x2010: "-", 0x2011: "-"}
-_GONE = re.compile("[" + "".join(INVISIBLE) + "]")
+_GONE = re.compile(char_class(INVISIBLE))
 _WIDE = re.compile("[＂＇（．０-９Ａ-Ｚａ-ｚ\u2010\u2011]")
 
 
