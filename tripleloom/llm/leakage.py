@@ -245,4 +245,26 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_report": p7_report}
-ORACLE: dict[str, str] = {}
+
+
+def _sql_folded(text: str) -> str:
+    for a, b in _LIGATURES.items():
+        text = f"replace({text}, '{a}', '{b}')"
+    return f"translate(lower(translate({text}, '{_FROM}', '{_TO}')), '{''.join(_SMALL)}', '{''.join(_SMALL.values())}')"
+
+
+_GRAMS = "(SELECT DISTINCT {id} AS id, unnest(list_transform(range(1, len(t) - {last} + 1), lambda i: array_to_string(t[i : i + {last}], '{sep}'))) AS g FROM (SELECT {id}, {toks} AS t FROM {table} WHERE {where}) WHERE len(t) > {last})"
+_SQL_WORDS = f"list_filter(regexp_split_to_array({_sql_folded('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+_SQL_LETTERS = f"list_filter(string_split(regexp_replace({_sql_folded('text')}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'), ''), lambda w: w <> '')"
+
+
+def _sql_leaks(toks: str, need: int, sep: str, items: str, docs: str) -> str:
+    side = lambda id_, table_, where: _GRAMS.format(id=id_, toks=toks, last=need - 1, sep=sep, table=table_, where=where)
+    return f"SELECT DISTINCT i.id AS item_id, d.id AS doc_id FROM {side('item_id', 'benchmark', items)} i JOIN {side('doc_id', 'documents', docs)} d USING (g)"
+
+
+ORACLE = {
+    "p7_found": _sql_leaks(_SQL_WORDS, MIN_WORDS, " ", "coalesce(lang, '') NOT LIKE 'zh%'", "text IS NOT NULL")
+    + " UNION "
+    + _sql_leaks(_SQL_LETTERS, MIN_CHARS, "", "lang LIKE 'zh%'", "regexp_matches(text, '\\p{Han}')")
+}

@@ -281,4 +281,33 @@ def p8_members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_consistent": p8_consistent, "p8_members": p8_members}
-ORACLE: dict[str, str] = {}
+
+
+def sql_look(text: str) -> str:
+    """SQL of a form that texts of one look share, whatever the corpus prefers: one-to-one letters, then composed accents."""
+    one: dict[str, str] = {**CYRILLIC, **GREEK, **{c: " " for c in BLANKS}, **{c: "-" for c in HYPHENS}}
+    several: dict[str, str] = {"\u0e33": "\u0e4d\u0e32", "\u0eb3": "\u0ecd\u0eb2"}
+    for n in range(0x80, 0x30000):
+        kind, _, rest = unicodedata.decomposition(c := chr(n)).rpartition("> ")
+        if not rest or c in one or c in several:
+            continue
+        if kind in ("<wide", "<narrow") or 0xFB00 <= n <= 0xFB06:
+            new = unicodedata.normalize("NFKC", c)
+        elif not kind:
+            new = unicodedata.normalize("NFC", "".join(one.get(x, x) for x in unicodedata.normalize("NFD", c)))
+        else:
+            continue
+        if new != unicodedata.normalize("NFC", c) or kind:
+            (one if len(new) == 1 else several)[c] = "".join(one.get(x, x) for x in new) if len(new) == 1 else new
+    out = f"regexp_replace({text}, '[{''.join(f'\\x{{{ord(c):x}}}' for c in INVISIBLE)}]', '', 'g')"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    for c, new in several.items():
+        out = f"replace({out}, {quoted(c)}, {quoted(new)})"
+    return f"nfc_normalize(translate({out}, {quoted(''.join(one))}, {quoted(''.join(one.values()))}))"
+
+
+_LOOKS = f"WITH t AS (SELECT doc_id, text, {sql_look('text')} AS look FROM documents WHERE text IS NOT NULL), m AS (SELECT *, min(doc_id) OVER (PARTITION BY look) AS look_id, min(doc_id) OVER (PARTITION BY text) AS string_id FROM t WHERE look IN (SELECT look FROM t GROUP BY 1 HAVING count(DISTINCT text) > 1)) "
+ORACLE = {
+    "p8_found": _LOOKS + "SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p8_members": _LOOKS + "SELECT look_id, string_id, doc_id FROM m",
+}

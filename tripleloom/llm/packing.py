@@ -180,8 +180,9 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     sized = cut(measured(table(spark, folder, "documents")))
     limits = table(spark, folder, "size_limits").where("pipeline like 'pack%' and unit = 'tokens'").select("pipeline", "max_size").distinct().orderBy("pipeline").collect()
     parts = [containers(sized, r.max_size).select(F.lit(r.pipeline).alias("pipeline"), "container_id", F.col("id").alias("doc_id"), "part_no", "tok_start", "tok_end") for r in limits]
-    out = parts[0]
-    for p in parts[1:]:
+    schema = f"pipeline string, container_id bigint, doc_id {sized.schema['id'].dataType.simpleString()}, part_no int, tok_start bigint, tok_end bigint"
+    out = spark.createDataFrame([], schema)
+    for p in parts:
         out = out.unionByName(p)
     return out
 
@@ -194,5 +195,16 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return agg.join(limits, "pipeline").select("pipeline", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("max_size"))).alias("fill"))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill}
-ORACLE: dict[str, str] = {}
+def p6_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity and document: whether its parts hold every token once, only split above the capacity, in containers that fit."""
+    rows = p6_containers(spark, folder)
+    limits = table(spark, folder, "size_limits").select("pipeline", "max_size").distinct()
+    over = cut(rows.groupBy("pipeline", "container_id").agg(F.sum(F.col("tok_end") - F.col("tok_start")).alias("used")).join(limits, "pipeline").where("used > max_size").select("pipeline", "container_id"))
+    rows = rows.join(over.withColumn("over", F.lit(True)), ["pipeline", "container_id"], "left").join(limits, "pipeline")
+    size = F.max("tok_end")
+    whole = (F.min("tok_start") == 0) & (F.sum(F.col("tok_end") - F.col("tok_start")) == size) & ((F.count("*") == 1) | (size > F.first("max_size"))) & (F.count("over") == 0)
+    return rows.groupBy("pipeline", "doc_id").agg(whole.alias("whole"))
+
+
+QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p6_cover": p6_cover}
+ORACLE = {"p6_cover": "SELECT DISTINCT pipeline, doc_id, true AS whole FROM documents, size_limits WHERE pipeline LIKE 'pack%' AND unit = 'tokens' AND text IS NOT NULL"}

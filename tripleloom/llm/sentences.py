@@ -660,5 +660,11 @@ def p3_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents")).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_sentences"), F.min(size).alias("shortest"), F.max(size).alias("longest"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_lengths": p3_lengths}
-ORACLE: dict[str, str] = {}
+def p3_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Letters and digits of each document that stand in its sentences: all of them, each once."""
+    seen = sentences(table(spark, folder, "documents"), with_text=True).select(F.col("id").alias("doc_id"), F.length(F.regexp_replace("sentence", r"[^\p{L}\p{N}]+", "")).cast("bigint").alias("n"))
+    return seen.groupBy("doc_id").agg(F.sum("n").alias("n_letters"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_lengths": p3_lengths, "p3_letters": p3_letters}
+ORACLE = {"p3_letters": "SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) AS n_letters FROM documents WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''"}

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -182,9 +182,23 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder).withColumnRenamed("id", "chunk_uid")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
+def p4_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Per oversized chunk: where its pieces begin and end, pieces above the limit, and gaps between pieces: none of either."""
+    limits = table(spark, folder, "size_limits").select("pipeline", "max_size")
+    home = table(spark, folder, "chunks").select("chunk_uid", "pipeline").distinct().join(limits, "pipeline").select("chunk_uid", "max_size")
+    p = p4_pieces(spark, folder).join(home, "chunk_uid")
+    before = F.lag("piece_end").over(Window.partitionBy("chunk_uid").orderBy("piece_no"))
+    p = p.withColumn("gap", F.coalesce(F.col("piece_start") > before, F.lit(False)))
+    return p.groupBy("chunk_uid").agg(F.min("piece_start").alias("first"), F.max("piece_end").alias("last"), F.count_if(F.col("size") > F.col("max_size")).alias("n_large"), F.count_if("gap").alias("n_gaps"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover}
+_LARGE = """FROM (SELECT DISTINCT chunk_uid, text, pipeline FROM chunks) c JOIN size_limits l ON l.pipeline = c.pipeline
+WHERE CASE l.unit WHEN 'chars' THEN length(c.text) WHEN 'words' THEN len(list_filter(regexp_split_to_array(c.text, '[ \\t\\n]+'), lambda w: w <> '')) END > l.max_size"""
 ORACLE = {
     "p4_found": """
 SELECT DISTINCT c.chunk_uid FROM chunks c JOIN size_limits l ON l.pipeline = c.pipeline
 WHERE CASE l.unit WHEN 'chars' THEN length(c.text) WHEN 'words' THEN len(list_filter(regexp_split_to_array(c.text, '[ \\t\\n]+'), lambda w: w <> '')) END > l.max_size""",
+    # gaps between pieces can only be blanks, which no unit of words holds
+    "p4_cover": "SELECT chunk_uid, 0::BIGINT AS first, length(text)::BIGINT AS last, 0::BIGINT AS n_large, 0::BIGINT AS n_gaps " + _LARGE,
 }
