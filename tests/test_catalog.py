@@ -25,11 +25,11 @@ def rows_of(columns, rows):
     return Counter(repr(tuple(norm(r[i]) for i in order)) for r in rows)
 
 
-def keys(n, least=1):
+def keys(n):
     """Rows have different keys (the first n columns)."""
 
     def check(df, rows, db):
-        assert len(rows) >= least and len({tuple(r[c] for c in df.columns[:n]) for r in rows}) == len(rows)
+        assert rows and len({tuple(r[c] for c in df.columns[:n]) for r in rows}) == len(rows)
 
     return check
 
@@ -56,10 +56,6 @@ def joined_text(df, rows, db):
         assert at == len(words)
 
 
-def ranks(df, rows, db):
-    assert abs(sum(r["rank"] for r in rows) - 1) < 1e-9 and all(r["rank"] > 0 for r in rows)
-
-
 def counters(df, rows, db):
     for r in rows:
         assert r["n_in"] == r["n_clean"] + r["n_repaired"] + r["n_failed"] and r["n_out"] >= r["n_in"]
@@ -75,8 +71,8 @@ def some(df, rows, db):
 CHECKS = {
     "char_chunks": joined_text, "paragraph_chunks": joined_text, "answer_triples": keys(2), "strict_answers": keys(1), "entity_matches": keys(1),
     "fact_entity_labels": keys(1), "object_resolution": keys(3), "resolution_history": keys(1), "resolution_counts": counters, "correlation_tests": keys(1),
-    "pagerank": ranks, "graph_structure": keys(1), "weak_components": keys(2), "density_clusters": covers("embeddings", "vec_id"), "leader_clusters": covers("embeddings", "vec_id"),
-    "one_to_one_match": keys(1), "fuzzy_scores": some, "corpus_alignment": keys(1, least=0), "extraction_pipeline": keys(3), "name_vectors": some, "statement_contexts": keys(2),
+    "graph_structure": keys(1), "density_clusters": covers("embeddings", "vec_id"), "leader_clusters": covers("embeddings", "vec_id"),
+    "one_to_one_match": keys(1), "fuzzy_scores": some, "extraction_pipeline": keys(3), "name_vectors": some, "statement_contexts": keys(2),
     "classified_facts": keys(1), "matched_relations": some, "entity_graphs": some, "cluster_relations": some, "repaired_answers": keys(2), "context_sentences": keys(2), "token_f1": some,
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 # Bracket and quote tokens of a treebank and what they stand for.
-TREEBANK = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}", "``": '"', "''": '"'}
+TREEBANK = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}", "``": '"', "''": '"', "`": "'"}
 
 
 def plain_tokens(tokens: Column) -> Column:

@@ -49,20 +49,22 @@ def _pairs_beyond_ascii(text: Column) -> Column:
 def matches(texts: DataFrame, terms: DataFrame, keys: list[str], group: str, text: str, term: str) -> DataFrame:
     """(keys..., found): per text the non-overlapping terms of its group, longest first, listed by place.
 
-    Texts and terms are in lower case. A hit holds the first ASCII word of its term as a whole word, so texts
-    meet terms by group and word, not every text of a group with every term; terms without an ASCII word go
-    by their first two characters.
+    Texts and terms are in lower case; `keys` name a text. A hit holds the first ASCII word of its term as a whole word,
+    so texts meet terms by group and word, not every text of a group with every term; terms without an ASCII word go by
+    their first two characters. The words travel without their text, which is fetched once for the terms it may hold.
     """
     word = F.regexp_extract("_term", "[a-z0-9]+", 0)
     names = terms.select(group, F.col(term).alias("_term")).where("_term <> ''").distinct()
     names = names.withColumn("_key", F.when(word != "", word).otherwise(F.concat(F.lit("#"), F.substring("_term", 1, 2))))
-    t = F.col("_text")
+    t = F.col(text)
     runs = F.array_distinct(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)))
     runs = F.when(t.rlike(r"[^\x00-\x7f]"), F.array_union(runs, _pairs_beyond_ascii(t))).otherwise(runs)
-    rows = texts.select(*keys, group, F.col(text).alias("_text")).select("*", F.explode(runs).alias("_key"))
-    hits = rows.join(names, [group, "_key"]).where(F.contains("_text", F.col("_term")))
-    hits = hits.select(*keys, F.explode(F.transform(all_places(F.col("_text"), F.col("_term")), lambda at: span(at, F.col("_term")))).alias("s"))
-    return hits.groupBy(*keys).agg(keep_longest(F.collect_list("s")).alias("found"))
+    words = texts.select(*keys, group, F.explode(runs).alias("_key"))
+    may = words.join(names, [group, "_key"]).groupBy(*keys).agg(F.collect_set("_term").alias("_terms"))
+    rows = texts.select(*keys, t.alias("_text")).distinct().join(may, keys)
+    held = F.filter("_terms", lambda x: F.contains(F.col("_text"), x))
+    spans = F.flatten(F.transform(held, lambda x: F.transform(all_places(F.col("_text"), x), lambda at: span(at, x))))
+    return rows.withColumn("_spans", spans).where(F.size("_spans") > 0).select(*keys, keep_longest(F.col("_spans")).alias("found"))
 
 
 def segments(text: Column, found: Column) -> Column:

@@ -81,7 +81,8 @@ def char_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mos
 def pack_paragraphs(text: str, most: int = 300, carry: int = 50, stride: int = 250) -> list[str]:
     """Paragraphs packed up to `most` words, each chunk beginning with the last `carry` words of the one before.
 
-    The carried words are not counted against the limit; a longer paragraph becomes windows every `stride` words.
+    The paragraph that follows carried words is not checked against the limit with them, so a chunk may reach `most` +
+    `carry` words; later paragraphs are. A longer paragraph becomes windows every `stride` words, without a carry.
     """
     out: list[str] = []
     now: list[str] = []

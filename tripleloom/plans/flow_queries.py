@@ -65,7 +65,13 @@ def entity_maps(spark: SparkSession, d: str) -> DataFrame:
     return R.entity_maps(rows.select("doc_id", "ent_id", body.alias("payload")), "payload", ["doc_id"], "ent_id")
 
 
-@query("corpus_alignment")
+@query(
+    "corpus_alignment",
+    """WITH x AS (SELECT item_id AS item, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON substr(b.text, 1, 250) = substr(d.text, 1, 250) GROUP BY 1),
+p AS (SELECT item_id AS item, k, substr(text, (k * greatest((length(text) - 80) // 3, 1) + 1)::INT, 80) AS p FROM benchmark, (SELECT unnest(range(4)) AS k) WHERE item_id NOT IN (SELECT item FROM x)),
+h AS (SELECT item, doc_id, count(*) AS n FROM p JOIN documents d ON p <> '' AND contains(d.text, p) GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT item, doc_id, 'prefix' AS how FROM x UNION ALL SELECT item, doc_id, 'probes' FROM h QUALIFY row_number() OVER (PARTITION BY item ORDER BY n DESC, doc_id) = 1""",
+)
 def corpus_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Documents that the reference items come from, by an equal start or by probes."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text")

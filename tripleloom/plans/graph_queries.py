@@ -58,9 +58,20 @@ def in_degrees(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select("src", "dst").distinct().groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("in_degree"))
 
 
-@query("pagerank")
+def _rank_sql(rounds: int, damping: float = 0.85) -> str:
+    """Power iteration written out, a table a round."""
+    steps = [f"""WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM {_EDGES}), o AS MATERIALIZED (SELECT src, count(*) AS n_out FROM e GROUP BY 1),
+v AS MATERIALIZED (SELECT v, n_out, count(*) OVER () AS n FROM (SELECT src AS v FROM e UNION SELECT dst FROM e) LEFT JOIN o ON src = v), r0 AS MATERIALIZED (SELECT v, 1.0::DOUBLE / n AS rank FROM v)"""]
+    for k in range(rounds):
+        steps.append(f"""r{k + 1} AS MATERIALIZED (SELECT v.v, (1 - {damping}) / n + {damping} * coalesce((SELECT sum(rank) FROM r{k} JOIN v USING (v) WHERE n_out IS NULL), 0) / n + {damping} * coalesce(got, 0) AS rank
+FROM v LEFT JOIN (SELECT dst, sum(rank / n_out) AS got FROM e JOIN r{k} ON r{k}.v = src JOIN o USING (src) GROUP BY 1) g ON g.dst = v.v)""")
+    return ", ".join(steps) + f" SELECT v, round(rank, 12) AS rank FROM r{rounds}"
+
+
+@query("pagerank", _rank_sql(10))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return G.pagerank(edges(spark, d), rounds=10)
+    """Ranks after ten rounds; the rounds are a parameter of the operator."""
+    return G.pagerank(edges(spark, d), rounds=10).withColumn("rank", rnd("rank", 12))
 
 
 @query("graph_structure")
@@ -68,7 +79,24 @@ def graph_structure(spark: SparkSession, d: str) -> DataFrame:
     return G.group_structure(edges(spark, d), "doc_id")
 
 
-@query("weak_components")
+@query(
+    "strong_components",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT doc_id, src, dst FROM {_EDGES}), r AS (SELECT doc_id, src AS v, dst AS o FROM e UNION SELECT r.doc_id, r.v, e.dst FROM r JOIN e ON e.doc_id = r.doc_id AND e.src = r.o),
+b AS (SELECT x.doc_id, x.v, min(x.o) AS m FROM r x JOIN r y ON y.doc_id = x.doc_id AND y.v = x.o AND y.o = x.v GROUP BY 1, 2),
+c AS (SELECT n.doc_id, least(n.v, coalesce(m, n.v)) AS root, count(*) AS k FROM (SELECT doc_id, src AS v FROM e UNION SELECT doc_id, dst FROM e) n LEFT JOIN b USING (doc_id, v) GROUP BY 1, 2)
+SELECT doc_id, count(*) AS n_strong, max(k) AS largest_strong FROM c GROUP BY 1""",
+)
+def strong_components(spark: SparkSession, d: str) -> DataFrame:
+    """Strong components of the graph of each document and the nodes of the largest."""
+    return G.group_structure(edges(spark, d), "doc_id").select("doc_id", "n_strong", "largest_strong")
+
+
+@query(
+    "weak_components",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT doc_id, src, dst FROM {_EDGES}), y AS (SELECT doc_id, src AS a, dst AS b FROM e UNION SELECT doc_id, dst, src FROM e),
+r AS (SELECT doc_id, a AS node, a AS o FROM y UNION SELECT r.doc_id, r.node, y.b FROM r JOIN y ON y.doc_id = r.doc_id AND y.a = r.o),
+c AS (SELECT doc_id, node, min(o) AS root FROM r GROUP BY 1, 2) SELECT doc_id, root, count(*) AS n_nodes FROM c WHERE (doc_id, node) IN (SELECT doc_id, a FROM y WHERE a <> b) GROUP BY 1, 2""",
+)
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
     """Components of the graph of each document, by the names of its vertices."""
     e = edges(spark, d)

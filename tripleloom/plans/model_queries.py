@@ -14,7 +14,7 @@ from ..session import cut, shared_folder
 from ..sources.tables import table
 from . import asking
 from .backends import embedded
-from .base import SQL_CANDIDATES, SQL_CHUNKS, SQL_ENTITIES, SQL_RESULTS, SQL_TRIPLES, candidates, chunks, entities, results, rnd, sq, triples
+from .base import SQL_CANDIDATES, SQL_CHUNKS, SQL_ENTITIES, SQL_TRIPLES, UWS, candidates, chunks, entities, results, rnd, sq, triples
 from .text_queries import STATEMENT
 
 QUERIES: dict = {}
@@ -47,7 +47,7 @@ def judged_facts(spark: SparkSession, d: str) -> DataFrame:
     return asking.recalled(rows, "fact", "text").select("cand_id", "verdict", "verifier_verdict", "hit")
 
 
-_PIECES = "list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(3), 'g'), chr(3)), lambda x: regexp_replace(x, '\\s+', '', 'g') <> '')"
+_PIECES = f"list_filter(string_split(regexp_replace(text, '([.!?]){UWS}', '\\1' || chr(3), 'g'), chr(3)), lambda x: regexp_replace(x, '{UWS}', '', 'g') <> '')"
 
 
 @query("generated_facts", f"WITH p AS (SELECT doc_id, {_PIECES} AS s FROM documents), r AS (SELECT doc_id, unnest(s[1:15]) AS f, unnest(range(len(s[1:15])))::INT AS fact_ord FROM p) SELECT doc_id, fact_ord, {sq('f')} AS fact, false AS span_mismatch FROM r")
