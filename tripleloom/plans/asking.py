@@ -14,12 +14,15 @@ from ..functions.text import blank_to_null, clean_entity, clean_relation, malfor
 from ..operators.resolve import valid_relation
 from ..operators.segment import rule_sentences
 from ..operators.vectors import dot
-from ..session import cut
+from ..session import cut, partitions
 from ..sources.files import write_requests
-from .backends import HashedEmbedder, RuleBackend, complete, embedded
+from .backends import HashedEmbedder, RuleBackend, complete, embedded, ends_asked
 
 STRICT = "\n\nAnswer with valid JSON only."
 
+#: Relations of a document up to which one task takes them all; n times as many are dealt to about the root of n tasks, as each of them gets all names of the document.
+PART = 5000
+
 
 def prompt(task: str, **parts) -> Column:
     """A task line, a blank line, and the parts as one JSON object."""
@@ -175,26 +178,39 @@ def matched_relations(found: DataFrame, entities: DataFrame, backend=RuleBackend
     """(doc_id, subject, relation, object, fixed) whose ends are both entities of their document, exactly.
 
     `found` has (doc_id, subject, relation, object), `entities` (doc_id, name). Relations with another end are sent back
-    once with the entities that share a word with it, and stay only if both ends match then.
+    once with the entities that share a word with it, and stay only if both ends match then. The names of a document go
+    to its relations once, or once for each part of many relations; lists of a relation are neither stored nor shuffled.
+    Documents without names are not asked about, as nothing could match.
     """
-    names = cut(entities.select("doc_id", "name").where("name is not null").distinct())
-    at = lambda c: names.select("doc_id", F.col("name").alias(c), F.lit(True).alias(f"_{c}"))
-    rows = cut(found.select("doc_id", "subject", "relation", "object").distinct().join(at("subject"), ["doc_id", "subject"], "left").join(at("object"), ["doc_id", "object"], "left"))
-    good = rows.where("_subject and _object").select("doc_id", "subject", "relation", "object", F.lit(False).alias("fixed"))
-    bad = rows.where("_subject is null or _object is null").select("doc_id", "subject", "relation", "object")
-    words = lambda c: F.array_distinct(F.split(F.lower(squeeze(F.col(c))), " "))
-    ends = bad.select("doc_id", F.explode(F.array("subject", "object")).alias("end")).distinct().select("doc_id", "end", F.explode(words("end")).alias("w"))
-    near = ends.join(names.select("doc_id", "name", F.explode(words("name")).alias("w")), ["doc_id", "w"]).groupBy("doc_id", "end").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    side = lambda c: near.select("doc_id", F.col("end").alias(c), F.col("names").alias(f"_{c}"))
-    none = F.array().cast("array<string>")
-    asked = bad.join(side("subject"), ["doc_id", "subject"], "left").join(side("object"), ["doc_id", "object"], "left")
-    listed = F.array_sort(F.array_union(F.coalesce("_subject", none), F.coalesce("_object", none)))
-    asked = asked.withColumn("_p", prompt("Match the ends of the relation to the entities.", subject=F.col("subject"), relation=F.col("relation"), object=F.col("object"), entities=listed))
-    asked = ask_json(asked.select("doc_id", "_p"), "_p", "_a", backend)
-    fixed = asked.select("doc_id", _field("_a", "subject").alias("subject"), _field("_a", "relation", "predicate").alias("relation"), _field("_a", "object").alias("object"))
+    key = ["doc_id", "subject", "relation", "object"]
+    names = cut(entities.select("doc_id", "name").where("doc_id is not null and name is not null").distinct())
+    rows = cut(found.select(*key).join(names.select("doc_id").distinct(), "doc_id", "left_semi").distinct())
+    first = cut(_ends_asked(rows, names, backend).withColumn("good", F.coalesce(parses(F.col("answer")), F.lit(False))))
+    answers = first.where("good")
+    bad = first.where("not known and not good")
+    if not bad.isEmpty():
+        again = F.when(F.coalesce(squeeze(F.col("answer")), F.lit("")) != "", F.concat(F.lit("Repair the JSON.\n\n"), "answer"))
+        repaired = complete(bad.withColumn("_again", again), "_again", "_r", backend).drop("answer").withColumnRenamed("_r", "answer")
+        repaired = cut(repaired.withColumn("good", F.coalesce(parses(F.col("answer")), F.lit(False))))
+        strict = _ends_asked(repaired.where("not good").select(*key), names, backend, STRICT)
+        strict = strict.where(F.coalesce(parses(F.col("answer")), F.lit(False)))
+        answers = answers.select("doc_id", "answer").unionByName(repaired.where("good").select("doc_id", "answer")).unionByName(strict.select("doc_id", "answer"))
+    fixed = answers.select("doc_id", _field("answer", "subject").alias("subject"), _field("answer", "relation", "predicate").alias("relation"), _field("answer", "object").alias("object"))
+    fixed = fixed.where("relation is not null").distinct()
     for c in ("subject", "object"):
         fixed = fixed.join(names.withColumnRenamed("name", c), ["doc_id", c], "left_semi")
-    return good.unionByName(fixed.where("relation is not null").distinct().withColumn("fixed", F.lit(True)))
+    return first.where("known").select(*key, F.lit(False).alias("fixed")).unionByName(fixed.select(*key, F.lit(True).alias("fixed")))
+
+
+def _ends_asked(rows: DataFrame, names: DataFrame, backend, suffix: str = "") -> DataFrame:
+    """Relations (doc_id, subject, relation, object) beside the names of their document, asked; those of a document with over PART are dealt to several tasks."""
+    parts = rows.groupBy("doc_id").count().where(F.col("count") > PART).select("doc_id", F.ceil(F.sqrt(F.col("count") / PART)).cast("int").alias("parts"))
+    own = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(F.broadcast(parts), "doc_id", "left").select("doc_id", F.pmod(F.xxhash64("subject", "relation", "object"), own).cast("int").alias("part"), F.lit(1).alias("kind"), "subject", "relation", "object")
+    none = F.lit(None).cast("string")
+    beside = names.join(F.broadcast(parts), "doc_id", "left").select("doc_id", F.explode(F.sequence(F.lit(0), own - 1)).alias("part"), F.lit(0).alias("kind"), F.col("name").alias("subject"), none.alias("relation"), none.alias("object"))
+    both = dealt.unionByName(beside).repartition(partitions(rows.sparkSession), "doc_id", "part").sortWithinPartitions("doc_id", "part", "kind")
+    return ends_asked(both, backend, suffix)
 
 
 def same_entity(pairs: DataFrame, a: str = "x", b: str = "y", backend=RuleBackend) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.answers import ALIASES, triple_columns
 from ..operators import linking as L
 from ..operators import retrieval, vectors
 from ..session import cut, shared_folder
@@ -90,7 +91,9 @@ def fixed_triples(spark: SparkSession, d: str) -> DataFrame:
 @query("matched_relations")
 def matched_relations(spark: SparkSession, d: str) -> DataFrame:
     """Triples whose ends are entities of their document, those of other ends matched to them by the model once."""
-    return asking.matched_relations(triples(spark, d), entities(spark, d))
+    stated = triple_columns(table(spark, d, "triples").select("doc_id", *ALIASES, "payload"))
+    whole = stated.where("subject is not null and relation is not null and object is not null")
+    return asking.matched_relations(whole, table(spark, d, "raw_entities"))
 
 
 _SQUASH = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
